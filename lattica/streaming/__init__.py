@@ -1,0 +1 @@
+"""The engine is batch only: graphs are bounded, and superstep state is a loop-carried table."""
