@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import packing, sharding, token_store
+from . import html_text, packing, prefix_bpe, quality, sharding, token_store
 
 #: Production parameters.
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -16,6 +16,10 @@ def _table(spark, d, name):
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def op1_quality_rules(spark, d):
+    return quality.judge(_table(spark, d, "documents"), _table(spark, d, "labels")).drop("failed_rules")
+
+
 def op5_best_fit_packing(spark, d):
     return packing.pack_documents(_table(spark, d, "documents"), public_tokenizers.path(BYTE_BPE), SEQUENCE, END_ID)
 
@@ -25,9 +29,17 @@ def op7_histogram_sort(spark, d):
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_composite_density(spark, d):
+    return html_text.extract(_table(spark, d, "pages"))
+
+
+def op9_prefix_bpe(spark, d):
+    return prefix_bpe.encode_decode(_table(spark, d, "documents"), public_tokenizers.path(WORD_BPE))
+
+
 def op10_token_store(spark, d):
     return token_store.encode_and_store(_table(spark, d, "documents"), public_tokenizers.path(WORD_BPE), END_ID)
 
 
-QUERIES = {f.__name__: f for f in (op5_best_fit_packing, op7_histogram_sort, op10_token_store)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op5_best_fit_packing, op7_histogram_sort, op8_composite_density, op9_prefix_bpe, op10_token_store)}
+ORACLES: dict[str, str] = {"op1_quality_rules": quality.oracle()}
