@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import html_text, packing, prefix_bpe, quality, sharding, token_store
+from . import html_text, packing, prefix_bpe, quality, sharding, token_store, toxicity
 
 #: Production parameters.
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -24,6 +24,10 @@ def op5_best_fit_packing(spark, d):
     return packing.pack_documents(_table(spark, d, "documents"), public_tokenizers.path(BYTE_BPE), SEQUENCE, END_ID)
 
 
+def op6_crf_toxicity(spark, d):
+    return toxicity.tag(_table(spark, d, "documents"), _table(spark, d, "labels"))
+
+
 def op7_histogram_sort(spark, d):
     out = sharding.histogram_shards(_table(spark, d, "documents"), SHARDS)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -41,5 +45,5 @@ def op10_token_store(spark, d):
     return token_store.encode_and_store(_table(spark, d, "documents"), public_tokenizers.path(WORD_BPE), END_ID)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op5_best_fit_packing, op7_histogram_sort, op8_composite_density, op9_prefix_bpe, op10_token_store)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op5_best_fit_packing, op6_crf_toxicity, op7_histogram_sort, op8_composite_density, op9_prefix_bpe, op10_token_store)}
 ORACLES: dict[str, str] = {"op1_quality_rules": quality.oracle()}
