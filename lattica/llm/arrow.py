@@ -35,3 +35,49 @@ def strings(data: np.ndarray, starts: np.ndarray) -> pa.Array:
     """The pieces of ``data`` that begin at ``starts`` (ascending, first 0) as one binary array, without copying."""
     offsets = np.append(starts, len(data)).astype(np.int64)
     return pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit mix of 64-bit values; public constants of the splitmix64 generator."""
+    with np.errstate(over="ignore"):
+        z = x.astype(np.uint64) + np.uint64((0x9E3779B97F4A7C15 * (seed + 1)) & (2**64 - 1))
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The rows of each key as one table, from batches sorted by ``keys``. Holds one run at a time."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        columns = [b.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        new = np.zeros(b.num_rows, bool)
+        for c in columns:
+            new[1:] |= c[1:] != c[:-1]
+        edges = [0, *np.flatnonzero(new).tolist(), b.num_rows]
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            key = tuple(c[lo] for c in columns)
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            last = key
+            held.append(b.slice(lo, hi - lo))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest index reachable from each of ``n`` nodes over the links ``a``-``b``, in one task."""
+    root = np.arange(n)
+    while True:
+        low = root.copy()
+        np.minimum.at(low, a, root[b])
+        np.minimum.at(low, b, root[a])
+        np.minimum.at(low, root, low)
+        low = low[low]
+        if (low == root).all():
+            return root
+        root = low

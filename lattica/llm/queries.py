@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import html_text, packing, prefix_bpe, quality, sharding, token_store, toxicity
+from . import html_text, packing, prefix_bpe, quality, sharding, shingle_join, token_store, toxicity
 
 #: Production parameters.
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -20,6 +20,10 @@ def op1_quality_rules(spark, d):
     return quality.judge(_table(spark, d, "documents"), _table(spark, d, "labels")).drop("failed_rules")
 
 
+def op4_ngram_jaccard(spark, d):
+    return shingle_join.jaccard_join(_table(spark, d, "documents"))
+
+
 def op5_best_fit_packing(spark, d):
     return packing.pack_documents(_table(spark, d, "documents"), public_tokenizers.path(BYTE_BPE), SEQUENCE, END_ID)
 
@@ -45,5 +49,5 @@ def op10_token_store(spark, d):
     return token_store.encode_and_store(_table(spark, d, "documents"), public_tokenizers.path(WORD_BPE), END_ID)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op5_best_fit_packing, op6_crf_toxicity, op7_histogram_sort, op8_composite_density, op9_prefix_bpe, op10_token_store)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op4_ngram_jaccard, op5_best_fit_packing, op6_crf_toxicity, op7_histogram_sort, op8_composite_density, op9_prefix_bpe, op10_token_store)}
 ORACLES: dict[str, str] = {"op1_quality_rules": quality.oracle()}

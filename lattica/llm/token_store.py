@@ -23,22 +23,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shared import new_path
-from .arrow import slices
+from .arrow import mix, slices
 from .units import UnitEncoder, load
 
 #: Bits per key of a level; and levels before the remaining keys are kept in a sorted list.
 GAMMA, LEVELS = 2, 40
 
 
-def _mix(keys: np.ndarray, seed: int) -> np.ndarray:
-    """A 64-bit mix of 64-bit keys; public constants of the splitmix64 generator."""
-    with np.errstate(over="ignore"):
-        z = keys.astype(np.uint64) + np.uint64((0x9E3779B97F4A7C15 * (seed + 1)) & (2**64 - 1))
-        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return z ^ (z >> np.uint64(31))
-
-
 @dataclass
 class PerfectHash:
     """Maps each of n distinct 64-bit keys to its own slot in [0, n). Foreign keys get any slot or -1."""
@@ -54,7 +45,7 @@ class PerfectHash:
             if not len(left):
                 break
             m = max(64, GAMMA * len(left))
-            at = (_mix(left, level) % np.uint64(m)).astype(np.int64)
+            at = (mix(left, level) % np.uint64(m)).astype(np.int64)
             alone = np.bincount(at, minlength=m) == 1
             levels.append(np.packbits(alone, bitorder="little"))
             sizes.append(m)
@@ -73,7 +64,7 @@ class PerfectHash:
         keys = np.asarray(keys, np.int64)
         out, open_ = np.full(len(keys), -1, np.int64), np.arange(len(keys))
         for level, (bits, rank) in enumerate(zip(self._bits, self._rank, strict=True)):
-            at = (_mix(keys[open_], level) % np.uint64(len(bits))).astype(np.int64)
+            at = (mix(keys[open_], level) % np.uint64(len(bits))).astype(np.int64)
             hit = bits[at]
             out[open_[hit]] = rank[at[hit]]
             open_ = open_[~hit]
@@ -98,7 +89,7 @@ def build_index(keys: np.ndarray, null: np.ndarray, lengths: np.ndarray) -> byte
     mph = PerfectHash.build(distinct)
     slot = mph.slots(distinct)
     prints, row, rows = np.zeros(len(distinct), np.uint32), np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
-    prints[slot] = (_mix(distinct, 1000) >> np.uint64(32)).astype(np.uint32)
+    prints[slot] = (mix(distinct, 1000) >> np.uint64(32)).astype(np.uint32)
     row[slot], rows[slot] = real[first], count
     arrays = {f"level{i}": b for i, b in enumerate(mph.levels)}
     return _save(arrays | {"sizes": np.array(mph.sizes, np.int64), "rest": mph.rest, "prints": prints, "row": row, "rows": rows, "keys": keys, "null": null, "lengths": lengths})
@@ -120,7 +111,7 @@ class Shard:
         slot = self.mph.slots(keys)
         if not len(self.prints):
             return np.zeros(len(slot), np.int64), np.zeros(len(slot), np.int64)
-        ok = (slot >= 0) & (self.prints[slot] == (_mix(np.asarray(keys, np.int64), 1000) >> np.uint64(32)).astype(np.uint32))
+        ok = (slot >= 0) & (self.prints[slot] == (mix(np.asarray(keys, np.int64), 1000) >> np.uint64(32)).astype(np.uint32))
         return np.where(ok, self.row[slot], 0), np.where(ok, self.rows[slot], 0)
 
     def payload(self, row: int, f=None) -> np.ndarray:
