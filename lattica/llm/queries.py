@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import html_text, packing, prefix_bpe, quality, sharding, shingle_join, token_store, toxicity, vector_forest
+from . import context_tree, html_text, packing, prefix_bpe, quality, sharding, shingle_join, token_store, toxicity, vector_forest
 
 #: Production parameters.
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -20,6 +20,10 @@ def op1_quality_rules(spark, d):
     return quality.judge(_table(spark, d, "documents"), _table(spark, d, "labels")).drop("failed_rules")
 
 
+def op2_context_tree(spark, d):
+    return context_tree.score(_table(spark, d, "documents"))
+
+
 def op3_projection_forest(spark, d):
     return vector_forest.near_duplicates(_table(spark, d, "embeddings"))
 
@@ -53,5 +57,5 @@ def op10_token_store(spark, d):
     return token_store.encode_and_store(_table(spark, d, "documents"), public_tokenizers.path(WORD_BPE), END_ID)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_projection_forest, op4_ngram_jaccard, op5_best_fit_packing, op6_crf_toxicity, op7_histogram_sort, op8_composite_density, op9_prefix_bpe, op10_token_store)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_context_tree, op3_projection_forest, op4_ngram_jaccard, op5_best_fit_packing, op6_crf_toxicity, op7_histogram_sort, op8_composite_density, op9_prefix_bpe, op10_token_store)}
 ORACLES: dict[str, str] = {"op1_quality_rules": quality.oracle()}
