@@ -28,7 +28,7 @@ from ..shared import stage
 from .arrow import flat, mix, slices
 
 #: Bytes of context; text bytes of a block; distinct grams and words that a bucket receives, about.
-DEPTH, BLOCK_BYTES, BUCKET_KEYS = 5, 12 << 20, 4_000_000
+DEPTH, BLOCK_BYTES, BUCKET_KEYS = 6, 12 << 20, 4_000_000
 SHALLOW = 3
 BOUNDARY = 0xFF
 _LOWER = np.arange(256, dtype=np.uint8)

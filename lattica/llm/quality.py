@@ -51,10 +51,13 @@ def _covered(windows: Column) -> Column:
     return _let(F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i")))), repeated)
 
 
-def features(docs: DataFrame, key: str = "doc_id", text: str = "text", stratum: str = "lang") -> DataFrame:
-    """One row per document: id, stratum, the base counts and one feature per rule. Null text has no words."""
+def features(docs: DataFrame, key: str = "doc_id", text: str = "text", stratum: str = "lang", carry: bool = False) -> DataFrame:
+    """One row per document: id, stratum, the base counts and one feature per rule; with ``carry`` also the whole row as
+    ``_row``. Null text has no words."""
     t, space = F.coalesce(F.col(text).cast("string"), F.lit("")), F.lit(SPACE)
-    one = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"), t.alias("t"))
+    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")] if carry else []
+    also = ["_row"] if carry else []
+    one = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"), t.alias("t"), *row)
     lines = F.filter(F.split("t", "\n"), lambda x: F.btrim(x, space) != "")
     words = F.when(F.btrim("t", space) == "", F.array().cast("array<string>")).otherwise(F.split(F.btrim("t", space), "[ \t-\r]+"))
     two = one.withColumns({"w": words, "l": lines})
@@ -62,7 +65,7 @@ def features(docs: DataFrame, key: str = "doc_id", text: str = "text", stratum:
     hashes = F.when(F.size("w") >= WINDOW, F.transform(starts, lambda i: F.xxhash64(F.slice("w", i, WINDOW)))).otherwise(F.array().cast("array<bigint>"))
     without = lambda p: (F.length("t") - F.length(F.regexp_replace("t", p, ""))).cast("long")
     three = two.select(
-        "doc_id", "stratum", F.size("w").cast("long").alias("n_words"), F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
+        *also, "doc_id", "stratum", F.size("w").cast("long").alias("n_words"), F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         without(SYMBOLS).alias("n_symbols"), (F.size("l") - F.size(F.array_distinct("l"))).cast("long").alias("n_dup_lines"),
         F.size("l").alias("n_lines"), without(r"\p{Lu}+").alias("n_capitals"), without("[!|]+").alias("n_marks"), hashes.alias("h"),
     )
@@ -70,7 +73,7 @@ def features(docs: DataFrame, key: str = "doc_id", text: str = "text", stratum:
     four = three.withColumn("n_repeat_words", repeats).drop("h")
     share = lambda a, b: F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b)), F.lit(0.0))
     return four.select(
-        "doc_id", "stratum", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        *also, "doc_id", "stratum", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         ((F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT)).alias("base_failed"),
         share("n_symbols", "word_chars").alias("symbols"), share("n_capitals", "word_chars").alias("capitals"),
         share("n_dup_lines", "n_lines").alias("lines"), share("n_repeat_words", "n_words").alias("repeats"), share("n_marks", "n_words").alias("marks"),
@@ -123,6 +126,20 @@ def certify(feats: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: fl
     return best.select("stratum", "rule", "x.cutoff")
 
 
+#: Cutoffs that are joined by broadcast at most; their number is counted first.
+FEW_CUTS = 10_000
+
+
+def _verdicts(feats: DataFrame, cuts: DataFrame) -> DataFrame:
+    """Add ``failed_rules`` and ``kept``."""
+    chosen = cuts.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cuts"))
+    if cuts.count() <= FEW_CUTS:
+        chosen = F.broadcast(chosen)
+    failed = F.array_compact(F.array(*[F.when(F.col(r) >= F.try_element_at("cuts", F.lit(r)), F.lit(r)) for r in RULES]))
+    out = feats.join(chosen, "stratum", "left").withColumn("failed_rules", failed)
+    return out.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
+
+
 def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", stratum: str = "lang") -> DataFrame:
     """``(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, failed_rules)``.
 
@@ -130,12 +147,15 @@ def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     reject. Documents with a null language are a stratum of their own.
     """
     feats = stage(features(docs, key, text, stratum), "features")
-    cuts = certify(feats, labels)
-    chosen = cuts.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cuts"))
-    joined = feats.join(chosen, "stratum", "left")
-    failed = F.array_compact(F.array(*[F.when(F.col(r) >= F.try_element_at("cuts", F.lit(r)), F.lit(r)) for r in RULES]))
-    out = joined.withColumn("failed_rules", failed)
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.size("failed_rules") == 0)).alias("kept"), "failed_rules")
+    out = _verdicts(feats, stage(certify(feats, labels), "cuts"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_rules")
+
+
+def keep(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", stratum: str = "lang") -> DataFrame:
+    """The rows of ``docs`` that ``judge`` keeps, all columns. The rows are staged beside their features: without that
+    table a filter on the verdict would be pushed below the projections and repeat all their work."""
+    feats = stage(features(docs, key, text, stratum, carry=True), "features")
+    return _verdicts(feats, stage(certify(feats, labels), "cuts")).where("kept").select("_row.*")
 
 
 def oracle() -> str:

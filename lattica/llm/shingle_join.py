@@ -224,7 +224,7 @@ def _verify(batches, threshold: float):
 
 
 def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, recall: float = RECALL, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(doc_id, class_id, n_links, component_id, kept, n_grams)``, one row per document.
+    """``(doc_id, class_id, n_links, component_id, kept, n_grams, th)``, one row per document; ``th`` hashes its text.
 
     ``class_id`` is the smallest id with the same n-gram set, ``n_links`` the number of other documents with Jaccard
     similarity of at least ``threshold``, ``component_id`` the smallest id reachable by links; of each component the
@@ -269,6 +269,21 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, words: int = WOR
     per_class = per_class.withColumn("component", F.coalesce("component", "cuid"))
     heads = per_class.groupBy("component").agg(F.min(F.struct(F.col("class_id").isNull().alias("z"), F.col("class_id").alias("d"), F.col("cuid").alias("u"))).alias("head"))
     per_class = per_class.join(heads, "component").select("s1", "s2", "class_id", (F.col("size") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), F.col("head.d").alias("component_id"), F.col("head.u").alias("stays"))
-    known = filled.select("uid", "doc_id", "n_grams", "s1", "s2").join(per_class, ["s1", "s2"]).select("doc_id", "class_id", "n_links", "component_id", (F.col("uid") == F.col("stays")).alias("kept"), "n_grams")
-    empty = all_.where("n_grams = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"), "n_grams")
+    known = filled.select("uid", "doc_id", "n_grams", "s1", "s2", "th").join(per_class, ["s1", "s2"]).select("doc_id", "class_id", "n_links", "component_id", (F.col("uid") == F.col("stays")).alias("kept"), "n_grams", "th")
+    empty = all_.where("n_grams = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"), "n_grams", "th")
     return known.unionAll(empty)
+
+
+def keep(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of ``docs`` per component, all columns; rows without words all stay. Only the ids that go are joined."""
+    verdicts = stage(jaccard_join(docs, key=key, text=text), "verdicts")
+    pair = [F.coalesce(F.col("doc_id"), F.lit(-1)).alias("_k"), F.col("th").alias("_th")]
+    gone = verdicts.groupBy(*pair).agg(F.count_if("kept").alias("stay"), F.count("*").alias("n")).where("stay < n")
+    rows = docs.withColumns({"_k": F.coalesce(F.col(key).cast("long"), F.lit(-1)), "_th": F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))})
+    gone = stage(gone, "gone")
+    out = rows.join(gone.select("_k", "_th").hint("shuffle_hash"), ["_k", "_th"], "left_anti").select(docs.columns)
+    again = gone.where("stay > 0")  # one id with the same text several times: one of them stays
+    if not again.limit(1).count():
+        return out
+    some = rows.join(again.select("_k", "_th"), ["_k", "_th"]).dropDuplicates(["_k", "_th"])
+    return out.unionByName(some.select(docs.columns))
