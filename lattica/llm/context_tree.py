@@ -92,11 +92,15 @@ def _bucket(keys: np.ndarray, kind: int, buckets: int) -> np.ndarray:
 
 
 def _squeeze(x: np.ndarray) -> bytes:
-    return zstandard.compress(x.tobytes(), 1)
+    """Compressed by byte planes: equal high bytes of neighbouring numbers stand together."""
+    return zstandard.compress(x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes(), 3) if len(x) else b""
 
 
 def _widen(raw: bytes, kind) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(raw), kind)
+    if not raw:
+        return np.zeros(0, kind)
+    planes = np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).reshape(-1)
 
 
 def _key_blob(sorted_keys: np.ndarray) -> bytes:
@@ -130,7 +134,7 @@ def make_blocks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
             made += 1
             return pa.RecordBatch.from_arrays([
                 pa.array([(part << 32) + made]), list_of(pa.concat_arrays(ids), pa.int64()), list_of(pa.concat_arrays(held), pa.bool_()), list_of(pa.array(size), pa.int64()),
-                pa.array([zstandard.compress(data.tobytes(), 3)], pa.binary()), pa.array([n_train]), pa.array([n_keys]),
+                pa.array([zstandard.compress(data.tobytes(), 9)], pa.binary()), pa.array([n_train]), pa.array([n_keys]),
             ], names=["block", "ids", "held", "sizes", "body", "n_train", "n_keys"])
 
         for b in slices(batches, budget=BLOCK_BYTES // 4):
@@ -313,7 +317,8 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     size = blocks.agg(F.sum("n_train").alias("n"), F.sum("n_keys").alias("k")).first()
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(size["k"] or 0) // BUCKET_KEYS))
     n_train = size["n"] or 0
-    parts = stage(gather(blocks, buckets).repartition(buckets, "bucket"), "parts")
+    parts = stage(gather(blocks, buckets), "parts")
+    grams_of, words_of = (parts.where(F.col("kind") == k).groupBy("bucket") for k in (0, 1))
 
     def upper(t: pa.Table) -> pa.Table:
         grams, counts = _total(t, 0)
@@ -322,30 +327,33 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
         keys, zeros, ones = _level(grams, counts, SHALLOW - 1)
         low = deep_levels(grams, counts)[SHALLOW]
         below = _sum_children(keys, _parents(low.keys, SHALLOW), low.log)
-        words = int((_total(t, 1)[1] > 0).sum())
-        return pa.table([pa.array(np.append(keys.view(np.int64), -1)), pa.array(np.append(zeros, words)), pa.array(np.append(ones, 0)), pa.array(np.append(below, 0.0))], names=["node", "zeros", "ones", "below"])
+        return pa.table([pa.array(keys.view(np.int64)), pa.array(zeros), pa.array(ones), pa.array(below)], names=["node", "zeros", "ones", "below"])
 
-    top = parts.groupBy("bucket").applyInArrow(upper, "node long, zeros long, ones long, below double")
+    top = grams_of.applyInArrow(upper, "node long, zeros long, ones long, below double")
     top = top.groupBy("node").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("below").alias("below")).toArrow()
     node = top.column("node").to_numpy()
-    n_types = int(top.column("zeros").to_numpy()[node == -1].sum())
     order = np.argsort(node)
-    order = order[node[order] >= 0]
     # at most 65,536 contexts of 255 decisions, whatever the corpus
     sent = spark.sparkContext.broadcast(shallow_levels(node[order].astype(np.uint64), *[top.column(c).to_numpy()[order] for c in ("zeros", "ones", "below")]))
 
-    def answer(t: pa.Table) -> pa.Table:
+    def answered(t: pa.Table, values: list[bytes], types: int) -> pa.Table:
+        counted = pa.array([types, *[0] * (t.num_rows - 1)], pa.int64())
+        return pa.table([t.column("block"), t.column("bucket"), t.column("kind"), pa.array(values, pa.binary()), counted], names=["block", "bucket", "kind", "values", "types"])
+
+    def gram_answers(t: pa.Table) -> pa.Table:
         grams, counts = _total(t, 0)
         seen = counts > 0
-        logs = predict(grams, deep_levels(grams[seen], counts[seen]) | sent.value)
+        logs = predict(grams, deep_levels(grams[seen], counts[seen]) | sent.value).astype(np.float32)
+        return answered(t, [_squeeze(logs[np.searchsorted(grams, _keys_of(x.as_py()))]) for x in t.column("keys")], 0)
+
+    def word_answers(t: pa.Table) -> pa.Table:
         words, uses = _total(t, 1)
-        blobs = []
-        for kind, blob in zip(t.column("kind").to_pylist(), t.column("keys"), strict=True):
-            keys = _keys_of(blob.as_py())
-            blobs.append(_squeeze(logs[np.searchsorted(grams, keys)]) if kind == 0 else _squeeze(uses[np.searchsorted(words, keys)]))
-        return pa.table([t.column("block"), t.column("bucket"), t.column("kind"), pa.array(blobs, pa.binary())], names=["block", "bucket", "kind", "values"])
+        return answered(t, [_squeeze(uses[np.searchsorted(words, _keys_of(x.as_py()))]) for x in t.column("keys")], int((uses > 0).sum()))
 
-    answers = parts.groupBy("bucket").applyInArrow(answer, "block long, bucket int, kind int, values binary")
+    schema = "block long, bucket int, kind int, values binary, types long"
+    word_rows = stage(words_of.applyInArrow(word_answers, schema), "words")
+    n_types = word_rows.agg(F.sum("types")).first()[0] or 0
+    answers = grams_of.applyInArrow(gram_answers, schema).unionAll(word_rows).drop("types")
 
     def finish(block: pa.Table, got: pa.Table) -> pa.Table:
         names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"]
@@ -357,7 +365,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
             owner, value = _bucket(every, kind, buckets), np.zeros(len(every))
             for k, p, v in zip(got.column("kind").to_pylist(), got.column("bucket").to_pylist(), got.column("values"), strict=True):
                 if k == kind:
-                    value[owner == p] = _widen(v.as_py(), np.float64 if kind == 0 else np.int64)
+                    value[owner == p] = _widen(v.as_py(), np.float32 if kind == 0 else np.int64)
             if kind:
                 known = value > 0
                 value = np.log10((value + 1) / (n_train + n_types + 1))
