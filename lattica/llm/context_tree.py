@@ -86,6 +86,14 @@ def word_keys(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.insert(h, at[1:], np.uint64(0)), at + np.arange(n + 1)
 
 
+def _chunks(offsets: np.ndarray, budget: int = 2 << 20):
+    """Ranges of texts of about ``budget`` bytes: what is held per position at once."""
+    part = offsets[1:] // budget
+    edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+    for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+        yield lo, hi, slice(int(offsets[lo]), int(offsets[hi])), offsets[lo : hi + 1] - offsets[lo]
+
+
 def _bucket(keys: np.ndarray, kind: int, buckets: int) -> np.ndarray:
     own = keys >> np.uint64(8 * (DEPTH - SHALLOW + 1)) if kind == 0 else keys
     return (mix(own, 24) % np.uint64(buckets)).astype(np.int64)
@@ -171,15 +179,15 @@ def gather(blocks: DataFrame, buckets: int) -> DataFrame:
                 data, offsets = _open(t)
                 held = t.column("held")[0].values.to_numpy(zero_copy_only=False)
                 for kind, keys_of in ((0, gram_keys), (1, word_keys)):
-                    keys, at = keys_of(data, offsets)
-                    train = np.sort(keys[np.repeat(~held, np.diff(at))])
-                    other = keys[np.repeat(held, np.diff(at))]
-                    del keys
-                    first = np.flatnonzero(np.concatenate([[True], train[1:] != train[:-1]])) if len(train) else np.zeros(0, np.int64)
-                    distinct, count = train[first], np.diff(np.append(first, len(train)))
-                    every = np.union1d(distinct, other)
-                    n = np.zeros(len(every), np.uint32)
-                    n[np.searchsorted(every, distinct)] = count
+                    found, uses = [], []
+                    for lo, hi, span, own in _chunks(offsets):
+                        keys, at = keys_of(data[span], own)
+                        train = np.repeat(~held[lo:hi], np.diff(at))
+                        distinct, where, total = np.unique(keys, return_inverse=True, return_counts=True)
+                        found.append(distinct)
+                        uses.append(total - np.bincount(where[~train], minlength=len(distinct)))
+                    every, n = _sum_by(np.concatenate(found), np.concatenate(uses))
+                    n = n.astype(np.uint32)
                     owner = _bucket(every, kind, buckets)
                     order = np.argsort(owner, kind="stable")
                     cuts = np.searchsorted(owner[order], np.arange(buckets + 1))
@@ -358,22 +366,23 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     def finish(block: pa.Table, got: pa.Table) -> pa.Table:
         names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"]
         data, offsets = _open(block)
-        sums = []
+        out = {}
         for kind, keys_of in ((0, gram_keys), (1, word_keys)):
-            keys, at = keys_of(data, offsets)
-            every = np.unique(keys)
+            every = np.unique(np.concatenate([np.unique(keys_of(data[span], own)[0]) for _, _, span, own in _chunks(offsets)]))
             owner, value = _bucket(every, kind, buckets), np.zeros(len(every))
             for k, p, v in zip(got.column("kind").to_pylist(), got.column("bucket").to_pylist(), got.column("values"), strict=True):
                 if k == kind:
                     value[owner == p] = _widen(v.as_py(), np.float32 if kind == 0 else np.int64)
+            known = value > 0
             if kind:
-                known = value > 0
                 value = np.log10((value + 1) / (n_train + n_types + 1))
-            where = np.searchsorted(every, keys)
-            sums.append((np.add.reduceat(value[where], at[:-1]), np.diff(at)))
-            if kind:
-                n_known = np.add.reduceat(known[where].astype(np.int64), at[:-1])
-        (logs, n_bytes), (base, n_tokens) = sums
+            parts = []
+            for _, _, span, own in _chunks(offsets):
+                keys, at = keys_of(data[span], own)
+                where = np.searchsorted(every, keys)
+                parts.append((np.add.reduceat(value[where], at[:-1]), np.diff(at), np.add.reduceat(known[where].astype(np.int64), at[:-1])))
+            out[kind] = [np.concatenate(x) for x in zip(*parts, strict=True)]
+        (logs, n_bytes, _), (base, n_tokens, n_known) = out[0], out[1]
         return pa.table([
             block.column("ids")[0].values, block.column("held")[0].values, pa.array(n_tokens), pa.array(n_known), pa.array(np.full(len(logs), n_train)),
             pa.array(base), pa.array(logs), pa.array(-logs / math.log10(2) / n_bytes),
