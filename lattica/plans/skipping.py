@@ -44,12 +44,12 @@ def shortest_paths_skipping(graph: Graph, landmarks: list[int], partitions: int,
         raise ValueError("negative edge weight")
     placed = graph.edges.groupBy("src", "dst").agg(F.min("w").alias("w"))
     placed = placed.withColumn("pid", partitioner(F.col("src"), F.col("dst"), partitions)).persist()
-    homes = placed.select(F.explode(F.array("src", "dst")).alias("id"), "pid").distinct().persist()
+    homes = placed.select(F.explode(F.array("src", "dst")).alias("id"), F.col("pid").alias("home")).distinct().persist()
     marks = sorted(set(landmarks))
     state = stage(graph.vertices.where(F.col("id").isin(marks)).select("id", F.col("id").alias("landmark"), F.lit(0.0).alias("dist")), "skip")
     while True:
-        copies = state.join(homes, "id").select("pid", "id", "landmark", "dist")
-        local = placed.groupBy("pid").cogroup(copies.groupBy("pid")).applyInPandas(_local_fixed_point, "id long, landmark long, dist double")
+        copies = state.join(homes, "id").select("home", "id", "landmark", "dist")
+        local = placed.groupBy("pid").cogroup(copies.groupBy("home")).applyInPandas(_local_fixed_point, "id long, landmark long, dist double")
         best = local.groupBy("id", "landmark").agg(F.min("dist").alias("m"))
         seen = Observation()
         merged = state.join(best, ["id", "landmark"], "full").observe(seen, F.count_if(F.col("m").isNotNull()).alias("n"))
