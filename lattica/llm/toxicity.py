@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import flat, slices, strings
+from .arrow import flat, mix, slices, strings
 from .units import CACHE_UNITS, Memory, as_bytes
 
 #: The training sample: documents of each label, by hash of the id, none longer than MAX_CHARS code points.
@@ -136,12 +136,27 @@ def _mass(p: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.log(np.diff(np.concatenate([[0.0], np.cumsum(p**3)])[at]) + 1e-4)
 
 
+def _fresh(word: np.ndarray, at: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """Whether a token is the first of its label between its two neighbours."""
+    before, after = np.concatenate([[0], word[:-1] + 1]), np.concatenate([word[1:] + 1, [0]])
+    full = np.diff(at) > 0
+    before[at[:-1][full]] = after[at[1:][full] - 1] = 0
+    label = np.repeat(toxic.astype(np.int64), np.diff(at))
+    places = mix(mix(mix(2 * before + label, 1) + word.astype(np.uint64), 2) + after.astype(np.uint64), 3)
+    out = np.zeros(len(word), bool)
+    out[np.unique(places, return_index=True)[1]] = True
+    return out
+
+
 def seeds(words: list[str], codes: np.ndarray, at: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """Whether each distinct word has a feature tied to toxic documents."""
+    """Whether each distinct word has a feature tied to toxic documents. A passage that copies repeat is evidence once:
+    else any rare word of a toxic text with copies would seem tied."""
+    number: dict[str, int] = {}
+    fresh = _fresh(np.array([number.setdefault(w, len(number)) for w in words], np.int64)[codes], at, toxic)
     df = [Counter(), Counter()]
     names = [frozenset(feature_names(w)) if w else frozenset() for w in words]
     for k, (lo, hi) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
-        df[int(toxic[k])].update(frozenset().union(*[names[c] for c in set(codes[lo:hi].tolist())]))
+        df[int(toxic[k])].update(frozenset().union(*[names[c] for c in set(codes[lo:hi][fresh[lo:hi]].tolist())]))
     share = toxic.mean() if len(toxic) else 0.0
     if not 0 < share < 1:
         return np.zeros(len(words), bool)
