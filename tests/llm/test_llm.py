@@ -248,6 +248,18 @@ def test_toxicity(spark, none, labels):
     assert toxicity.tag(none, labels).count() == 0
 
 
+def test_copies_are_evidence_once():
+    r = random.Random(5)
+    word = lambda: "".join(r.choices("abcdefgh", k=8))
+    copied = " ".join(word() for _ in range(20))
+    toxic = [copied + " vilex"] * 30 + [f"{word()} vilex {word()} {word()}" for _ in range(30)]
+    texts = toxic + [" ".join(word() for _ in range(20)) for _ in range(60)]
+    units, codes, at, _, _ = toxicity.tokens(pa.array(texts))
+    words = [toxicity.normal(u) for u in toxicity.as_bytes(units)]
+    marked = toxicity.seeds(words, codes, at, np.arange(120) < 60)
+    assert {w for w, m in zip(words, marked, strict=True) if m} == {"vilex"}
+
+
 def test_marginals_by_enumeration():
     r = np.random.default_rng(1)
     e, m = r.normal(size=7), r.normal(size=(2, 2))
