@@ -20,7 +20,7 @@ from .arrow import mix, runs
 
 #: Cosine of a link; trees; vectors of a leaf and of a node that one task finishes; margin as a share of the spread of the
 #: projections; how far the cut may lie from their mean.
-THRESHOLD, TREES, LEAF, TASK, MARGIN, JITTER = 0.93, 12, 96, 2048, 0.2, 0.25
+THRESHOLD, TREES, LEAF, TASK, MARGIN, JITTER = 0.93, 12, 512, 2048, 0.2, 0.25
 
 
 def direction(tree: int, node: int, size: int) -> np.ndarray:
