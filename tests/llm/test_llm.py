@@ -14,6 +14,7 @@ import pytest
 from oracle import duck, rows
 
 from lattica.llm import context_tree, html_text, packing, prefix_bpe, quality, sharding, shingle_join, token_store, toxicity, vector_forest
+from lattica.llm.arrow import components
 from lattica.llm.queries import ORACLES, QUERIES
 from lattica.llm.units import load
 
@@ -177,6 +178,22 @@ def test_forest(spark):
     assert vector_forest.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_forest_of_a_group_of_near_copies(spark):
+    r = np.random.default_rng(8)
+    x = r.normal(size=(6500, 64))
+    x[:5000] = r.normal(size=64) + 0.27 * x[:5000]  # cosines around the threshold
+    x[6499] = x[0]
+    x = x[r.permutation(len(x))].astype(np.float32)
+    u = x.astype(float) / np.sqrt((x.astype(float) ** 2).sum(axis=1, keepdims=True))
+    near = u @ u.T >= 0.93
+    np.fill_diagonal(near, False)
+    least = components(len(x), *np.nonzero(near))
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int").repartition(4)
+    got = sorted((v.vec_id, v.n_links, v.component_id) for v in vector_forest.near_duplicates(df).collect())
+    assert near.sum() > 1_000_000
+    assert got == [(i, int(near[i].sum()), int(least[i])) for i in range(len(x))]
+
+
 def test_jaccard(docs, none):
     data = [(r.doc_id, r.text) for r in docs.collect()]
     sets = []
