@@ -3,7 +3,8 @@
 Every DOM node gets its link-adjusted characters per tag; a node's density sum is that of its children. The node of
 the largest sum is where the article's blocks hang. The threshold is the least density on the path from it up to the
 body; siblings that reach it belong to the same article, so the subtree grows to the lowest ancestor that holds them.
-Boilerplate by element, role or class is taken out before anything is counted.
+Boilerplate by element or role is taken out before anything is counted; so is boilerplate by class or id, unless the
+page's article hangs below it.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect_left, bisect_right
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,27 +40,31 @@ JUNK_WORDS = frozenset(
     "menu breadcrumb breadcrumbs footer header masthead comment comments disqus reply replies respond cookie cookies consent gdpr notice "
     "notices popup modal overlay newsletter subscribe signup share sharing social related recommended widget pagination pager toolbar".split()
 )
+#: Words for readers' replies, which are not the article however long they are.
+REPLY_WORDS = frozenset("comment comments disqus reply replies respond".split())
 _TAG = re.compile(r"""<!--.*?(?:--!?>|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""", re.S)
 _ATTR = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
-def _is_junk(tag: str, attributes: str, in_article: bool) -> bool:
+def _is_junk(tag: str, attributes: str) -> tuple[bool, frozenset[str]]:
+    """Whether an element is boilerplate for sure, and the words of its class and id that hint at it."""
+    words: frozenset[str] = frozenset()
     if tag in JUNK_TAGS:
-        return True
+        return True, words
     if not attributes or tag in ("body", "html", "article", "main"):
-        return False
+        return False, words
     for m in _ATTR.finditer(attributes):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "")
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-            return True
+            return True, words
         if name == "role" and value.lower() in JUNK_ROLES:
-            return True
+            return True, words
         if name == "style" and "display:none" in value.replace(" ", "").lower():
-            return True
-        if name in ("class", "id") and any(w.lower() in JUNK_WORDS for w in _WORD.findall(value)):
-            return True
-    return False
+            return True, words
+        if name in ("class", "id"):
+            words |= JUNK_WORDS & {w.lower() for w in _WORD.findall(value)}
+    return False, words
 
 
 class _Dom:
@@ -65,7 +72,8 @@ class _Dom:
 
     def __init__(self, source: str):
         self.parent, self.tag, self.junk, self.items = [-1], ["#"], [False], []
-        stack, at, article = [0], 0, 0
+        self.words: dict[int, frozenset[str]] = {}
+        stack, at = [0], 0
 
         def text(s: str) -> None:
             if s:
@@ -125,12 +133,45 @@ class _Dom:
                     self._add(stack[-1], tag, False)
                     stack.append(node)
                 continue
-            self._add(stack[-1], tag, tag in RAW or _is_junk(tag, attributes, article > 0))
+            junk, words = _is_junk(tag, attributes)
+            self._add(stack[-1], tag, tag in RAW or junk)
+            if words and not self.junk[node]:
+                self.words[node] = words
             if tag in RAW and not attributes.rstrip().endswith("/"):
                 end = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(source, at)
                 at = end.end() if end else len(source)
             elif tag not in VOID:
                 stack.append(node)
+        if self.words:
+            self._judge_words()
+
+    def _judge_words(self) -> None:
+        """Drop the subtrees that class words hint at, but for those that hold the article: a ``main``, an ``article``
+        with no less text than any outside, or, if no such element stands beside it, most of the page's text."""
+        n, parent, tag = len(self.tag), self.parent, self.tag
+        size, last, inside, around, has_main = [0] * n, list(range(n)), [0] * n, [0] * n, [False] * n
+        for i, s in self.items:
+            if s is not None and not self.junk[i]:
+                size[i] += sum(map(len, s.split()))
+        for i in range(n - 1, 0, -1):
+            p, home = parent[i], size[i] if tag[i] in ("article", "main") else 0
+            size[p] += size[i]
+            last[p] = max(last[p], last[i])
+            inside[p] = max(inside[p], inside[i], home)
+            has_main[p] |= has_main[i] or (tag[i] == "main" and home > 0)
+        for i in range(1, n):
+            p = parent[i]
+            around[i] = max(around[p], size[p] if tag[p] in ("article", "main") else 0)
+        homes = [i for i in range(n) if tag[i] in ("article", "main") and size[i]]
+        after = list(accumulate((size[h] for h in reversed(homes)), max, initial=0))[::-1]
+        ends = sorted(homes, key=lambda h: last[h])
+        before, ends = list(accumulate((size[h] for h in ends), max, initial=0)), [last[h] for h in ends]
+        for i, words in self.words.items():
+            apart = max(after[bisect_right(homes, last[i])], before[bisect_left(ends, i)])
+            own = has_main[i] or (inside[i] and inside[i] >= max(apart, around[i] - size[i]))
+            self.junk[i] = not own and (apart > 0 or 2 * size[i] <= size[0] or bool(words & REPLY_WORDS))
+        for i in range(1, n):
+            self.junk[i] |= self.junk[parent[i]]
 
     def _add(self, parent: int, tag: str, junk: bool) -> None:
         self.parent.append(parent)

@@ -317,6 +317,20 @@ def test_pages(page, want):
     assert html_text.main_text(page) == want
 
 
+@pytest.mark.parametrize("page, want", [
+    ('<body><div class="layout has-sidebar"><article><p>Body text here.</p></article><div class="sidebar"><p>Side.</p></div></div></body>', "Body text here."),
+    ('<body><div id="no-sidebar"><main><p>Body text here.</p></main></div></body>', "Body text here."),
+    ('<body><div class="no-sidebar"><p>Body text here.</p><p>And more of it.</p><div class="ad">buy</div></div><div class="footer">f</div></body>', "Body text here. And more of it."),
+    ('<body><main><div class="content-with-nav"><article><p>Body text here.</p></article></div></main></body>', "Body text here."),
+    ('<body><main><p>Body text here, all of it.</p><div class="related"><article><p>Teaser.</p></article></div></main></body>', "Body text here, all of it."),
+    ('<body><article><p>Body text here.</p></article><div class="comments"><article><p>I like it.</p></article></div></body>', "Body text here."),
+    ('<body><article><p>Body.</p><div id="comments"><p>I hate it all and more</p></div></article></body>', "Body."),
+    ('<body><div hidden class="has-sidebar"><article><p>Not shown.</p></article></div><p>Shown.</p></body>', "Shown."),
+])
+def test_class_words_spare_the_article(page, want):
+    assert html_text.main_text(page) == want
+
+
 def test_pages_table(spark):
     df = spark.createDataFrame([(1, None, None), (None, "u", "<p>x y</p>"), (1, "u", "")], "page_id long, url string, html string")
     assert sorted(r.n_chars for r in html_text.extract(df).collect()) == [0, 0, 3]
