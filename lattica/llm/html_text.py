@@ -2,7 +2,9 @@
 
 Every DOM node gets its link-adjusted characters per tag; a node's density sum is that of its children. The node of
 the largest sum is where the article's blocks hang. The threshold is the least density on the path from it up to the
-body; siblings that reach it belong to the same article, so the subtree grows to the lowest ancestor that holds them.
+body, itself included; siblings that reach it belong to the same article, so the subtree grows to the lowest ancestor
+that holds them. Above that, and below the body, only what is not mostly links is added: siblings that reach the
+threshold, headings and their wrappers, paragraphs, and text that stands there by itself.
 Boilerplate by element or role is taken out before anything is counted; so is boilerplate by class or id, unless the
 page's article hangs below it.
 """
@@ -32,6 +34,7 @@ BLOCKS = frozenset(
 CLOSES_P = BLOCKS - {"td", "th", "tr", "tbody", "thead", "tfoot", "caption", "option", "optgroup", "body", "html", "head", "legend"}
 SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table", "tbody", "thead", "tfoot"), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
+TITLES = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 # What marks boilerplate.
 JUNK_TAGS = frozenset("head nav header footer aside form menu dialog search".split())
 JUNK_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
@@ -206,36 +209,43 @@ def main_text(source: str | None) -> str:
         return ""
     share = link_chars[0] / chars[0]
     density, total = [0.0] * n, [0.0] * n
-    for i in range(1, n):
+    for i in range(n):
         if chars[i] and not junk[i]:
             c, lc, t, lt = chars[i], link_chars[i] or 1, tags[i] or 1, link_tags[i] or 1
             base = math.log(c / ((c - link_chars[i]) or 1) * link_chars[i] + share * c + math.e)
             density[i] = max(0.0, c / t * math.log(c / lc * t / lt) / base) if link_chars[i] < c else 0.0
-            total[parent[i]] += density[i]
+            if i:
+                total[parent[i]] += density[i]
     body = next((i for i in range(n) if tag[i] == "body"), 0)
     candidates = [i for i in range(n) if not junk[i] and chars[i]]
     best = max(candidates, key=lambda i: (total[i], chars[i], -i))
-    path, i = [], best
-    while i > 0 and i != body and tag[i] != "html":
-        path.append(i)
-        i = parent[i]
-    threshold = min((density[i] for i in path), default=0.0)
+    path = [best]
+    while path[-1] not in (0, body) and tag[path[-1]] != "html":
+        path.append(parent[path[-1]])
+    threshold = min(density[i] for i in path)
     children: dict[int, list[int]] = {}
     for i in range(1, n):
         if not junk[i] and chars[i]:
             children.setdefault(parent[i], []).append(i)
-    root = best
-    for lower, upper in zip(path, path[1:], strict=False):
-        inside = any(tag[x] in ("article", "main") for x in path[path.index(upper):])
-        if inside or any(x != lower and density[x] >= threshold and chars[x] > 0 for x in children.get(upper, [])):
-            root = upper
     outer = [x for x in path if tag[x] == "article"] or [x for x in path if tag[x] == "main"]
-    root = outer[-1] if outer else root
+    at = path.index(outer[-1]) if outer else 0
+    for k in range(1, len(path) - 1 if not outer else 0):
+        if any(x != path[k - 1] and density[x] >= threshold for x in children[path[k]]):
+            at = k
+    above, chosen = set() if outer else {*path[at + 1 :]}, {path[at]}
+    title = [t == "h1" and not j for t, j in zip(tag, junk, strict=True)]
+    for i in range(n - 1, 0, -1):
+        title[parent[i]] |= title[i]
+    for upper in above:
+        blocks = [x for x in children[upper] if tag[x] in BLOCKS]
+        rest, links = (a[upper] - sum(a[x] for x in blocks) for a in (chars, link_chars))
+        if 2 * links < rest:
+            chosen |= {upper, *children[upper]} - {*blocks} - (above - {upper})
+        chosen |= {x for x in blocks if x not in above and (tag[x] in TITLES or (2 * link_chars[x] < chars[x] and (tag[x] == "p" or title[x] or density[x] >= threshold)))}
     keep = [False] * n
-    keep[root] = True
-    for i in range(root + 1, n):
-        keep[i] = keep[parent[i]] and not junk[i]
-    return " ".join("".join(s if s is not None else " " for i, s in dom.items if keep[i]).split())
+    for i in range(n):
+        keep[i] = i in chosen or (i > 0 and parent[i] not in above and keep[parent[i]] and not junk[i])
+    return " ".join("".join(s if s is not None else " " for i, s in dom.items if keep[i] or (s is None and i in above)).split())
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", source: str = "html") -> DataFrame:

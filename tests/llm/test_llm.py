@@ -331,6 +331,24 @@ def test_class_words_spare_the_article(page, want):
     assert html_text.main_text(page) == want
 
 
+def test_article_grows_to_the_body():
+    r = random.Random(6)
+    para = [" ".join("".join(r.choices("abcdefgh", k=5)) for _ in range(60 - k)) for k in range(6)]
+    part = ["<div>" + "".join(f"<p>{x}</p>" for x in para[k : k + 3]) + "</div>" for k in (0, 3)]
+    links = "<div>" + "<a href=x>some link</a> " * 20 + "</div>"
+    title, short, half = "<h1>The title of it</h1>", "<p>Short one.</p>", " ".join(para[:3])
+    for page, want in [
+        (f"<body>{''.join(part)}</body>", " ".join(para)),
+        (f"<body>{title}{part[0]}</body>", "The title of it " + half),
+        (f"<html>{title}{part[0]}{short}</html>", f"The title of it {half} Short one."),
+        (f"<body><div><div>{title}</div>{part[0]}{short}</div></body>", f"The title of it {half} Short one."),
+        (f"<body>{links}<h1><a href=x>The title of it</a></h1>{part[0]}{short}{links}<div class=ad>buy</div></body>", f"The title of it {half} Short one."),
+        (f"<body>Loose <b>text</b>{part[0]}</body>", "Loose text " + half),
+        (f"{part[0]}{short}", half + " Short one."),
+    ]:
+        assert html_text.main_text(page) == want
+
+
 def test_pages_table(spark):
     df = spark.createDataFrame([(1, None, None), (None, "u", "<p>x y</p>"), (1, "u", "")], "page_id long, url string, html string")
     assert sorted(r.n_chars for r in html_text.extract(df).collect()) == [0, 0, 3]
