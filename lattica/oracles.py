@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .functions.pids import MIXING_PRIME
 from .queries import BLOCK, PARTS
+from .sources.fixtures import WHOLE
 
 EDGES = {
     "li": "SELECT l_partkey AS src, l_suppkey AS dst, l_quantity AS w FROM lineitem",
@@ -24,6 +25,10 @@ def _with(name: str, *ctes: str) -> str:
     return "WITH RECURSIVE " + ",\n".join([*base, *ctes]) + "\n"
 
 
+def _whole(sql: str) -> str:
+    return " UNION ALL ".join(f"SELECT '{n}' AS name, * FROM ({_with(n)}{sql})" for n in WHOLE)
+
+
 def _sssp(name: str) -> str:
     rec = """d(id, landmark, dist) USING KEY (id, landmark) AS (
       SELECT v.id, m.landmark, 0.0::DOUBLE FROM v JOIN marks m ON v.id = m.landmark
@@ -157,6 +162,8 @@ def oracles() -> dict[str, str]:
         "vertex_universe": _with("sparse") + "SELECT id, id AS attr, id NOT IN (SELECT src FROM e UNION SELECT dst FROM e) AS isolated FROM v",
         "max_id_all": " UNION ALL ".join(f"SELECT '{n}' AS name, max(greatest(src, dst)) AS max_id FROM ({sql})" for n, sql in sorted(EDGES.items())),
         "cardinalities": _with("sparse") + "SELECT (SELECT count(*) FROM v) AS n_vertices, (SELECT count(*) FROM e) AS n_edges",
+        "vertex_universe_whole": _whole("SELECT id, id AS attr, id NOT IN (SELECT src FROM e UNION SELECT dst FROM e) AS isolated FROM v"),
+        "cardinalities_whole": _whole("SELECT (SELECT count(*) FROM v) AS n_vertices, (SELECT count(*) FROM e) AS n_edges"),
         "out_degree": _with("li") + "SELECT src AS id, count(*) AS degree FROM e GROUP BY 1",
         "in_degree": _with("li") + "SELECT dst AS id, count(*) AS degree FROM e GROUP BY 1",
         "zero_fill_degree": _with("li") + f"SELECT v.id, coalesce(degree, 0) AS degree FROM v LEFT JOIN {deg} o ON o.id = v.id",

@@ -14,7 +14,7 @@ from .operators import cost
 from .operators.placement import place, pre_search
 from .plans.labels import history_rollup
 from .sources import FIXTURES, fixture, log_normal_graph, parse_edges
-from .sources.fixtures import default_landmarks
+from .sources.fixtures import WHOLE, default_landmarks
 
 #: Parameters shared with the SQL: partitions, ids per block.
 PARTS, BLOCK = 4, 500
@@ -52,13 +52,35 @@ def edge_text_parse(spark, d):
     return parse_edges(lines)
 
 
-@query
-def vertex_universe(spark, d):
-    g = graph("sparse", spark, d)
+def universe(g: Graph) -> DataFrame:
     ends = g.edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct().withColumn("on_edge", F.lit(True))
     return g.vertices.join(ends, "id", "left").select("id", "attr", F.col("on_edge").isNull().alias("isolated"))
 
 
+@query
+def vertex_universe(spark, d):
+    return universe(graph("sparse", spark, d))
+
+
+def _whole(spark, d, f):
+    """``f`` of every graph that is a whole projection of its table, with the graph's name."""
+    parts = [f(graph(n, spark, d)).select(F.lit(n).alias("name"), "*") for n in WHOLE]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionAll(p)
+    return out
+
+
+@query
+def vertex_universe_whole(spark, d):
+    return _whole(spark, d, universe)
+
+
+@query
+def cardinalities_whole(spark, d):
+    return _whole(spark, d, Graph.cardinalities)
+
+
 @query
 def max_id_all(spark, d):
     parts = [max_id(fixture(n, spark, d)).select(F.lit(n).alias("name"), "max_id") for n in sorted(FIXTURES)]

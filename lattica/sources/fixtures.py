@@ -51,6 +51,9 @@ FIXTURES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ord": _orders, "li": _lineitem, "ev": _events, "rev": _reversed, "sparse": _sparse,
 }
 
+#: The graphs that leave out no row of their table.
+WHOLE = ("ev", "li", "ord", "rev")
+
 
 def fixture(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     if name not in FIXTURES:
