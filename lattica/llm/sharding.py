@@ -49,12 +49,15 @@ class _Splitter:
         if size >= self.target and key <= self.hi:
             self.hi, self.below_hi = key, (size, rows)
 
-    def probes(self, least: Key, most: Key) -> list[Key]:
-        """Keys between the bounds; none if at most one row stands between them."""
+    def probes(self, least: Key, most: Key, shard: float) -> list[Key]:
+        """Keys between the bounds; none if only one row, or equal texts that one ``shard`` can hold, stand between them."""
         if self.below_hi[1] - self.below_lo[1] <= 1:
             return []
         at = next(i for i in range(3) if self.hi[i] != self.lo[i])
         lo, hi, head = self.lo[at], self.hi[at], self.lo[:at]
+        edges = self.lo[1:] == self.hi[1:] == (_LOW, _LOW)
+        if edges and hi - lo <= 1 and self.below_hi[0] - self.below_lo[0] <= shard:
+            return []
         while hi - lo <= 1:  # the rows between share this component: go on to the next
             head, at = (*head, lo), at + 1
             if at == 3:
@@ -106,13 +109,14 @@ def _place(keys: DataFrame, splitters: list[Key]) -> DataFrame:
     return keys.mapInArrow(run, T.StructType([*keys.schema, T.StructField("part", T.IntegerType())]))
 
 
-def _search(keys: DataFrame, total: dict, parts: int, tolerance: float) -> list[Key]:
-    """Splitters that cut ``keys(h, i, r, size)`` into ``parts`` of near-equal bytes."""
+def _search(keys: DataFrame, total: dict, parts: int, tolerance: float, shard: float) -> list[Key]:
+    """Splitters that cut ``keys(h, i, r, size)`` into ``parts`` of near-equal bytes; a group of equal texts only if it
+    has more bytes than a ``shard``."""
     low, most = (_LOW, total["i0"] - 1, -1), (_HIGH, total["i1"], total["r1"])
     ends = {"lo": low, "hi": most, "below_lo": (0, 0), "below_hi": (total["size"], total["rows"])}
     todo = [_Splitter(total["size"] * (p + 1) / parts, **ends) for p in range(parts - 1)]
     while True:
-        asked = sorted({k for s in todo if s.error > tolerance for k in s.probes(low, most)})
+        asked = sorted({k for s in todo if s.error > tolerance for k in s.probes(low, most, shard)})
         if not asked:
             return sorted(s.best for s in todo)
         found = _count(keys, asked)  # one row per probe at most
@@ -142,7 +146,7 @@ def histogram_shards(docs: DataFrame, shards: int = 40, key: str = "doc_id", tex
     )
     total = keys.agg(F.sum("size").alias("size"), F.count("*").alias("rows"), F.min("i").alias("i0"), F.max("i").alias("i1"), F.max("r").alias("r1")).first().asDict()
     per_shard = max(1, -(-(total["size"] or 0) // (shards * TASK_BYTES)))
-    splitters = _search(keys, total, shards * per_shard, tolerance * total["size"] / (shards * per_shard)) if total["rows"] else []
+    splitters = _search(keys, total, shards * per_shard, tolerance * total["size"] / (shards * per_shard), total["size"] / shards) if total["rows"] else []
     placed = _place(keys, splitters)
     sizes = placed.groupBy("part").agg(F.count("*").alias("n")).collect() if per_shard > 1 else []  # a row per part
     before, run = {}, 0

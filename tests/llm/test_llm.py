@@ -300,6 +300,17 @@ def test_sharding(docs, none):
     assert sharding.histogram_shards(none, 5).count() == 0
 
 
+def test_equal_texts_that_fit_are_not_cut(spark):
+    data = [(i, f"text {i // 10 if i < 200 else 99:03d} " + "x" * 90) for i in range(260)]  # 20 groups of 10 and one of 60
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    where = collections.defaultdict(set)
+    for r in sharding.histogram_shards(df, 7).collect():
+        where[r.text_crc32].add(r.shard)
+    assert len(where) == 21 and len({s for x in where.values() for s in x}) == 7
+    assert all(len(s) == 1 for k, s in where.items() if k != zlib.crc32(data[-1][1].encode()))
+    assert len(where[zlib.crc32(data[-1][1].encode())]) > 1
+
+
 def test_sharding_is_even(spark, sf_dir):
     got = sharding.histogram_shards(spark.read.parquet(f"{sf_dir}/documents.parquet"), 4).groupBy("shard").sum("size").collect()
     size = [r[1] for r in got]
