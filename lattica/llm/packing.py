@@ -1,4 +1,4 @@
-"""Best-fit packing of documents into fixed-length sequences, bulk-synchronously.
+"""Best-fit packing of documents into fixed-length sequences: ranks and places distributed, the plan on the driver.
 
 Pieces are range-sorted by length (longest first) into staged partitions. Every piece gets its exact rank among
 the pieces of its length from local order plus the counts of earlier partitions. Equal lengths are interchangeable,
