@@ -174,9 +174,22 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int | None, uri: str, k
     return sorted(rows.mapInArrow(write, MANIFEST).collect())  # one small row per shard
 
 
+def _ordinals(keys: np.ndarray, null: np.ndarray) -> np.ndarray:
+    """How many rows with the same key, null or not, come before each row."""
+    order = np.lexsort((np.arange(len(keys)), keys, null))
+    k, z = keys[order], null[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = (k[1:] != k[:-1]) | (z[1:] != z[:-1])
+    at = np.arange(len(keys))
+    out = np.empty(len(keys), np.int64)
+    out[order] = at - np.maximum.accumulate(np.where(new, at, 0))
+    return out
+
+
 def read_store(spark: SparkSession, uri: str, manifest: list, tokenizer: str) -> DataFrame:
     """``(doc_id, start, n_tokens, ids_crc32)`` per document, from the files alone: each key is looked up in the index
-    and its payload read from the offset found there. Rows with a null key are read by position."""
+    and its payload read from the offset of the row found there; the k-th document of a repeated key is k rows further.
+    Rows with a null key are read by position."""
     width = 2 if load(tokenizer).get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
     start, todo = 0, []
     for m in manifest:
@@ -190,16 +203,17 @@ def read_store(spark: SparkSession, uri: str, manifest: list, tokenizer: str) ->
             for shard, first in zip(b.column("shard").to_pylist(), b.column("start").to_pylist(), strict=True):
                 s = Shard(fs, f"{root}/shard-{shard:05d}", width)
                 row, n = s.find(s.keys)
-                position = np.arange(len(s.keys))
-                inside = s.null | ((row <= position) & (position < row + n))
-                if not inside.all():
+                ordinal = _ordinals(s.keys, s.null)
+                found = np.where(s.null, np.arange(len(s.keys)), row + ordinal)
+                led = s.null | ((ordinal < n) & (found < len(s.keys)))
+                if not led.all() or (s.keys[found] != s.keys).any() or (s.null[found] != s.null).any():
                     raise ValueError(f"shard {shard}: the index does not lead to every document")
                 with s.fs.open_input_file(s.path + ".ids") as f:
                     for lo in range(0, len(s.keys), 20_000):
-                        at = position[lo : lo + 20_000]
+                        at = found[lo : lo + 20_000]
                         crc = [zlib.crc32(s.payload(i, f).astype("<u4").tobytes()) for i in at]
                         yield pa.RecordBatch.from_pydict({
-                            "doc_id": pa.array(s.keys[at], mask=s.null[at]), "start": pa.array(first + s.offsets[at]),
+                            "doc_id": pa.array(s.keys[lo : lo + 20_000], mask=s.null[lo : lo + 20_000]), "start": pa.array(first + s.offsets[at]),
                             "n_tokens": pa.array(s.lengths[at]), "ids_crc32": pa.array(crc, pa.int64()),
                         })
 

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import io
 import itertools
 import random
 import re
@@ -399,6 +400,21 @@ def test_token_store(spark, docs, none):
     assert token_store.encode_and_store(none, path).count() == 0
 
 
+def test_store_rows_come_through_the_index(spark, docs):
+    from lattica.shared import new_path
+
+    path, uri = P.path("word_bpe_49k.json"), new_path(spark, "t")
+    manifest = token_store.write_store(docs, path, 2, uri, shards=2)
+    fs, root = token_store._filesystem(uri)
+    file = f"{root}/shard-00001.idx"
+    with fs.open_input_file(file) as f:
+        index = dict(np.load(io.BytesIO(f.read())))
+    index["row"][:], index["rows"][:] = 0, len(index["keys"])  # every row lies in the range, no row is the right one
+    token_store._put(fs, file, [token_store._save(index)])
+    with pytest.raises(Exception, match="the index does not lead to every document"):
+        token_store.read_store(spark, uri, manifest, path).collect()
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline as C
 
