@@ -427,6 +427,67 @@ def test_pipeline(spark, sf_dir):
     assert {r[0] for r in last.select("doc_id").distinct().collect()} == {r[0] for r in docs.select("doc_id").collect()}
 
 
+def test_pipeline_by_brute_force(spark, tmp_path):
+    import corpus_pipeline as C
+
+    r = random.Random(2)
+    words = ["".join(r.choices("abcdefgh", k=5)) for _ in range(300)]
+    data, toxic = [], set()
+    for i in range(400):
+        w = r.choices(words, k=40)
+        if i % 4 == 0:
+            toxic.add(i)
+            for _ in range(2):
+                w[r.randrange(40)] = "vilex" + r.choice("abc")
+        data.append((i, " ".join(w)))
+    long = r.choices(words, k=150)
+    data += [(500 + k, " ".join([*long[: 10 * k], "other", *long[10 * k + 1 :]])) for k in range(6)]  # near copies
+    data += [(510, data[1][1]), (511, data[2][1]), (520, " ".join(r.choices(words, k=1500)))]  # copies, and a long text
+    data += [(530, None), (531, ""), (532, "too short"), (533, "again and " * 60), (534, " ".join(words[:19]))]
+    spark.createDataFrame([(i, x, "en", "s", len(x or "")) for i, x in data], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, int(i in toxic)) for i in range(400)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+
+    def passes(x):
+        w = WORDS.findall(x or "")
+        at = collections.defaultdict(list)
+        for k in range(len(w) - 7):
+            at[tuple(w[k : k + 8])].append(k)
+        repeated = {k + j for v in at.values() if len(v) > 1 for k in v for j in range(8)}
+        return len(w) >= 20 and 100 * len(repeated) <= 30 * len(w)
+
+    grams, stay = {}, {}
+    for i, x in data:
+        if passes(x) and i not in toxic:
+            w = x.split()
+            grams[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+            stay[i] = x
+    linked = [(a, b) for a, b in itertools.combinations(grams, 2) if len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b])]
+    ids = sorted(grams)
+    first = components(len(ids), *(np.array([ids.index(p[k]) for p in linked]) for k in (0, 1)))
+    stay = {i: stay[i] for k, i in enumerate(ids) if first[k] == k}
+    assert len(linked) == 17 and len(stay) == 302
+    want = []
+    for i, x in stay.items():
+        tokens = [*encode(C.BYTE_BPE, x), C.END_ID]
+        ends = list(range(len(tokens), 0, -C.SEQUENCE))[::-1]
+        for piece, (lo, hi) in enumerate(zip([0, *ends], ends, strict=False)):
+            want.append((i, piece, lo, hi - lo, crc(tokens[lo:hi])))
+    got = C.run(spark, str(tmp_path)).collect()
+    assert sorted((x.doc_id, x.piece, x.start, x.length, x.ids_crc32) for x in got) == sorted(want)
+    gaps, seqs = [], collections.defaultdict(list)
+    for k in sorted((x[3] for x in want), reverse=True):
+        fit = min((g for g in gaps if g >= k), default=C.SEQUENCE)
+        if fit in gaps:
+            gaps.remove(fit)
+        gaps.append(fit - k)
+    for x in got:
+        seqs[x.sequence_id].append((x.offset, x.length))
+    assert len(seqs) <= len(gaps)
+    for s in seqs.values():
+        s.sort()
+        assert [o for o, _ in s] == [sum(k for _, k in s[:n]) for n in range(len(s))] and sum(k for _, k in s) <= C.SEQUENCE
+
+
 def test_slices_of_null_columns():
     from lattica.llm.units import cut
 
