@@ -16,4 +16,5 @@ def duck(sf_dir, sql):
 
 def rows(df):
     df = df[sorted(df.columns)]
-    return sorted(tuple(None if x != x else x for x in r) for r in df.itertuples(index=False))
+    out = [tuple(None if x != x else x for x in r) for r in df.itertuples(index=False)]
+    return sorted(out, key=lambda r: [(x is None, 0 if x is None else x) for x in r])
