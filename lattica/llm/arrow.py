@@ -8,7 +8,13 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that a map function works on at once; a longer single text is a slice of its own.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
+
+
+#: White space between words, by byte; bytes that are hashed at once.
+SPACE = np.zeros(256, bool)
+SPACE[[0x20, *range(9, 14)]] = True
+WINDOW = 1 << 19
 
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -81,3 +87,67 @@ def components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         if (low == root).all():
             return root
         root = low
+
+
+def forest(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Some of the true cells, as rows and columns, that join all that the true cells join."""
+    rows, columns, a, b = hit.any(axis=1), hit.any(axis=0), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    while rows.any():
+        new = np.array([rows.argmax()])
+        rows[new] = False
+        while len(new):
+            part = hit[new] & columns
+            got = np.flatnonzero(part.any(axis=0))
+            a, b = [*a, new[part[:, got].argmax(axis=0)]], [*b, got]
+            columns[got] = False
+            part = hit[:, got] & rows[:, None]
+            new = np.flatnonzero(part.any(axis=1))
+            if len(new):
+                a, b = [*a, new], [*b, got[part[new].argmax(axis=1)]]
+            rows[new] = False
+    return np.concatenate(a), np.concatenate(b)
+
+
+def odd(n: int, seed: int) -> np.ndarray:
+    return mix(np.arange(n, dtype=np.uint64), seed) | np.uint64(1)
+
+
+class Words:
+    """64-bit hashes of words (runs of bytes that are not white space), in windows of WINDOW bytes. A word's hash is a
+    polynomial in its bytes; one that reaches over the end of a window is carried into the next."""
+
+    def __init__(self):
+        self.letters = odd(256, 11)
+        self.base = int(odd(1, 13)[0]) & ~2 | 4  # odd, not 1 mod 4 only
+        grow = lambda x: np.cumprod(np.concatenate([[np.uint64(1)], np.full(WINDOW, x, np.uint64)]))
+        self.power, self.inverse = grow(self.base), grow(pow(self.base, -1, 1 << 64))
+
+    def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the words of all texts, and where each text begins among them (n + 1)."""
+        starts, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        held: tuple[int, int, int] | None = None  # start, sum and length of the word that reaches the end of the window before
+        for lo in range(0, len(data), WINDOW):
+            d = data[lo : lo + WINDOW]
+            size = len(d)
+            word, edge = ~SPACE[d], np.zeros(size, bool)
+            edge[offsets[np.searchsorted(offsets, lo) : np.searchsorted(offsets, lo + size)] - lo] = True
+            begins, ends = word.copy(), word.copy()
+            begins[1:] &= ~word[:-1] | edge[1:]
+            ends[:-1] &= ~word[1:] | edge[1:]
+            s, e = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+            sums = np.concatenate([[np.uint64(0)], np.cumsum(self.letters[d] * self.power[:size])])
+            h, at, length = (sums[e] - sums[s]) * self.inverse[s], s + lo, e - s
+            if held is not None:
+                if word[0] and not edge[0]:
+                    h[0] = np.uint64((held[1] + int(h[0]) * pow(self.base, held[2], 1 << 64)) % (1 << 64))
+                    at[0], length[0] = held[0], length[0] + held[2]
+                else:
+                    starts.append(np.array([held[0]]))
+                    hashes.append(np.array([held[1]], np.uint64))
+                held = None
+            if word[-1] and lo + size < len(data):
+                held = int(at[-1]), int(h[-1]), int(length[-1])
+                at, h = at[:-1], h[:-1]
+            starts.append(at)
+            hashes.append(h)
+        return mix(np.concatenate(hashes), 14), np.searchsorted(np.concatenate(starts), offsets)

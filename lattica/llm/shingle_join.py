@@ -21,16 +21,16 @@ from pyspark.sql import functions as F
 
 from ..plans.components import connected
 from ..shared import stage
-from .arrow import components, flat, mix, runs, slices
+from .arrow import WINDOW, Words, components, flat, forest, mix, odd, runs, slices
 
 #: Words of an n-gram, least similarity of a link, and the recall that the bands are chosen for at that similarity.
 WORDS, THRESHOLD, RECALL, ROWS = 5, 0.8, 0.9999, 5
 #: Bucket rows that one comparison takes; documents of a block; sketch similarity that makes a candidate pair, that ties a
 #: document to a leader, and that ties leaders. A sketch byte misjudges a similarity by about 0.04.
 BUCKET, BLOCK, MOST_BLOCKS = 64, 64, 32
+#: n-grams of a block, about: a family of long documents gets smaller blocks.
+BLOCK_GRAMS = 1 << 20
 CANDIDATE, LEADER, LEADERS = 0.6, 0.7, 0.12
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(9, 14)]] = True
 
 
 def bands(threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS) -> int:
@@ -38,52 +38,54 @@ def bands(threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - threshold**rows)))
 
 
-def _odd(n: int, seed: int) -> np.ndarray:
-    return mix(np.arange(n, dtype=np.uint64), seed) | np.uint64(1)
+#: Grams worked on at once, and text bytes of a slice: what a worker holds beside its longest text.
+PART, SLICE = 1 << 15, 1 << 20
 
 
 class Shingler:
-    """64-bit hashes of the n-grams of words (runs of bytes that are not white space, case kept)."""
+    """64-bit hashes of the n-grams of words (runs of bytes that are not white space, case kept). Needs eight bytes for
+    each word and each n-gram of a slice, and otherwise the same memory for a text of any length."""
 
     def __init__(self, n: int = WORDS):
-        self.n, self.letters, self.weights = n, _odd(256, 11), _odd(n, 12)
-        self.base = int(_odd(1, 13)[0]) & ~2 | 4  # odd, not 1 mod 4 only
-        self.power = self.inverse = np.ones(1, np.uint64)
-
-    def _powers(self, n: int) -> None:
-        if len(self.power) <= n:
-            grow = lambda x: np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, x, np.uint64)]))
-            self.power, self.inverse = grow(self.base), grow(pow(self.base, -1, 1 << 64))
+        self.n, self.words, self.weights = n, Words(), odd(n, 12)
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of all texts in order and where each text begins (n + 1). A text of fewer than n words has one n-gram
+        """Hashes of all n-grams in order and where each text begins (n + 1). A text of fewer than n words has one n-gram
         of all of them; one without words has none."""
-        data, offsets = flat(texts)
-        size = len(data)
-        word = ~_SPACE[data]
-        edge = np.zeros(size + 1, bool)
-        edge[offsets[:-1]] = True
-        begins = word.copy()
-        begins[1:] &= ~word[:-1] | edge[1:size]
-        ends = word.copy()
-        ends[:-1] &= ~word[1:] | edge[1:size]
-        s, e = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-        if not len(s):
-            return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-        self._powers(size)
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(self.letters[data] * self.power[:size])])
-        words = mix((sums[e] - sums[s]) * self.inverse[s], 14)
-        at = np.searchsorted(s, offsets)
-        count = np.diff(at)
-        grams = np.where(count >= self.n, count - self.n + 1, count > 0).astype(np.int64)
-        bounds = np.concatenate([[0], np.cumsum(grams)])
-        doc = np.repeat(np.arange(len(count)), grams)
-        first = at[:-1][doc] + np.arange(bounds[-1]) - bounds[:-1][doc]
-        total = np.zeros(len(first), np.uint64)
-        for k in range(self.n):
-            inside = k < np.minimum(count[doc], self.n)
-            total += np.where(inside, words[np.minimum(first + k, len(words) - 1)] * self.weights[k], np.uint64(0))
-        return mix(total + np.minimum(count[doc], self.n).astype(np.uint64), 15), bounds
+        words, at = self.words(*flat(texts))
+        n, count = self.n, np.diff(at)
+        bounds = np.concatenate([[0], np.cumsum(np.where(count >= n, count - n + 1, count > 0))])
+        out, whole = np.zeros(bounds[-1], np.uint64), np.ones(bounds[-1], bool)
+        few = np.flatnonzero((count > 0) & (count < n))
+        total = np.zeros(len(few), np.uint64)
+        for k in range(n):
+            total += np.where(k < count[few], words[np.minimum(at[:-1][few] + k, len(words) - 1)] * self.weights[k], np.uint64(0))
+        out[bounds[:-1][few]] = mix(total + count[few].astype(np.uint64), 15)
+        whole[bounds[:-1][few]] = False
+        left = (np.repeat(at[1:], count) - np.arange(len(words))) >= n  # an n-gram begins here
+        parts = [np.zeros(0, np.uint64)]
+        for lo in range(0, len(words) - n + 1, WINDOW):
+            hi = min(lo + WINDOW, len(words) - n + 1)
+            total = np.zeros(hi - lo, np.uint64)
+            for k in range(n):
+                total += words[lo + k : hi + k] * self.weights[k]
+            parts.append(mix(total[left[lo:hi]] + np.uint64(n), 15))
+        out[whole] = np.concatenate(parts)
+        return out, bounds
+
+
+def min_hashes(h: np.ndarray, at: np.ndarray, factors: np.ndarray) -> np.ndarray:
+    """The MinHashes of each text, folded over parts of its n-grams."""
+    low = np.full((len(at) - 1, len(factors)), np.uint64(2**64 - 1))
+    full = np.flatnonzero(np.diff(at))
+    first = at[:-1][full]
+    for lo in range(0, len(h), PART):
+        part = h[lo : lo + PART]
+        a, b = np.searchsorted(first, lo, side="right") - 1, np.searchsorted(first, lo + len(part))
+        starts, rows = np.maximum(first[a:b] - lo, 0), full[a:b]
+        for k, f in enumerate(factors):
+            low[rows, k] = np.minimum(low[rows, k], np.minimum.reduceat(mix_fast(part, f), starts))
+    return low
 
 
 SKETCH = "uid long, doc_id long, th long, n_grams long, s1 long, s2 long, bands array<long>, bytes binary"
@@ -95,15 +97,10 @@ def sketches(docs: DataFrame, n_bands: int, rows: int = ROWS, words: int = WORDS
     src = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(key).cast("long").alias("doc_id"), F.xxhash64(t).alias("th"), t.alias("text"))
 
     def run(batches):
-        shingle, factors = Shingler(words), _odd(n_bands * rows, 16)
-        for b in slices(batches):
+        shingle, factors = Shingler(words), odd(n_bands * rows, 16)
+        for b in slices(batches, budget=SLICE):
             h, at = shingle(b.column("text"))
-            n = b.num_rows
-            full = np.flatnonzero(np.diff(at) > 0)
-            low = np.full((n, n_bands * rows), np.uint64(2**64 - 1))
-            if len(full):
-                for k, f in enumerate(factors):
-                    low[full, k] = np.minimum.reduceat(mix_fast(h, f), at[full])
+            n, low = b.num_rows, min_hashes(h, at, factors)
             distinct = [np.unique(h[lo:hi]) for lo, hi in zip(at[:-1], at[1:], strict=True)]
             total = lambda seed: np.array([mix(x, seed).sum(dtype=np.uint64) for x in distinct], np.uint64).view(np.int64)
             band = np.zeros((n, n_bands), np.uint64)
@@ -211,16 +208,19 @@ def _verify(batches, threshold: float):
             m = np.zeros((n, 4096), np.float32)
             m[row[part], code[part] - lo] = 1
             both += m @ m.T
-        union = size[:, None] + size[None, :] - both
-        linked = both >= threshold * union - 1e-9
+        linked = np.zeros((n, n), bool)
+        for lo in range(0, n, 256):
+            rows = slice(lo, lo + 256)
+            linked[rows] = both[rows] >= threshold * (size[rows, None] + size[None, :] - both[rows]) - 1e-9
+            if a != b:
+                linked[rows] &= chunk[rows, None] != chunk[None, :]
+        del both
         np.fill_diagonal(linked, False)
-        if a != b:
-            linked &= chunk[:, None] != chunk[None, :]
-        i, j = np.nonzero(np.triu(linked))
         some = np.flatnonzero(linked.any(axis=1))
         if len(some):
-            root = components(n, i, j)
-            yield pa.RecordBatch.from_arrays([pa.array(uid[some]), pa.array((linked @ weight)[some].astype(np.int64)), pa.array(uid[root[some]])], names=["uid", "linked", "peer"])
+            total = np.concatenate([linked[lo : lo + 256].astype(float) @ weight for lo in range(0, n, 256)])
+            root = components(n, *forest(linked))
+            yield pa.RecordBatch.from_arrays([pa.array(uid[some]), pa.array(total[some].astype(np.int64)), pa.array(uid[root[some]])], names=["uid", "linked", "peer"])
 
 
 def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, recall: float = RECALL, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -238,14 +238,14 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, words: int = WOR
     order = F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("d"), F.col("uid").alias("u"))
     filled = all_.where("n_grams > 0")
     # the representative is the row that would stay
-    classes = stage(filled.groupBy("s1", "s2").agg(F.min(F.struct(order.alias("o"), F.col("th").alias("th"))).alias("m"), F.count("*").alias("size")).select("s1", "s2", F.col("m.o.u").alias("cuid"), F.col("m.o.d").alias("class_id"), F.col("m.th").alias("th"), "size"), "classes")
+    classes = stage(filled.groupBy("s1", "s2").agg(F.min(F.struct(order.alias("o"), F.col("th").alias("th"))).alias("m"), F.count("*").alias("size"), F.max("n_grams").alias("grams")).select("s1", "s2", "grams", F.col("m.o.u").alias("cuid"), F.col("m.o.d").alias("class_id"), F.col("m.th").alias("th"), "size"), "classes")
     reps = stage(all_.join(classes.select(F.col("cuid").alias("uid")), "uid", "left_semi").select("uid", "bands", "bytes"), "reps")
     families = candidate_families(reps)
-    sized = families.groupBy("component").agg(F.count("*").alias("m"))
-    block = F.least(F.greatest(F.ceil(F.col("m") / MOST_BLOCKS), F.lit(BLOCK)), F.lit(32 * BLOCK))
-    members = families.join(sized, "component").withColumn("blocks", F.ceil(F.col("m") / block).cast("int"))
-    members = members.withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    wanted = members.join(classes, members["id"] == classes["cuid"]).select(F.col("cuid").alias("uid"), "component", "blocks", "chunk", "size", F.col("class_id").alias("_id"), F.col("th").alias("_th"))
+    members = stage(families.join(classes, families["id"] == classes["cuid"]).select(F.col("cuid").alias("uid"), "component", "size", "grams", F.col("class_id").alias("_id"), F.col("th").alias("_th")), "members")
+    sized = members.groupBy("component").agg(F.count("*").alias("m"), F.sum("grams").alias("g"))
+    block = F.least(F.greatest(F.ceil(F.col("m") / MOST_BLOCKS), F.lit(BLOCK)), F.lit(32 * BLOCK), F.greatest(F.ceil(F.lit(float(BLOCK_GRAMS)) * F.col("m") / F.col("g")), F.lit(1)))
+    wanted = members.join(sized, "component").withColumn("blocks", F.ceil(F.col("m") / block).cast("int"))
+    wanted = wanted.withColumn("chunk", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int")).drop("m", "g", "grams")
     wanted = stage(wanted, "wanted")
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     texts = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(-1)).alias("_k"), F.xxhash64(t).alias("_th"), t.alias("text"))
@@ -253,7 +253,7 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, words: int = WOR
 
     def grams(batches):
         shingle = Shingler(words)
-        for b in slices(batches):
+        for b in slices(batches, budget=SLICE):
             h, at = shingle(b.column("text"))
             raw = [np.unique(h[lo:hi]).tobytes() for lo, hi in zip(at[:-1], at[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("uid", "component", "blocks", "chunk", "size")], pa.array(raw, pa.binary())], names=["uid", "component", "blocks", "chunk", "size", "grams"])
@@ -279,11 +279,11 @@ def keep(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     verdicts = stage(jaccard_join(docs, key=key, text=text), "verdicts")
     pair = [F.coalesce(F.col("doc_id"), F.lit(-1)).alias("_k"), F.col("th").alias("_th")]
     gone = verdicts.groupBy(*pair).agg(F.count_if("kept").alias("stay"), F.count("*").alias("n")).where("stay < n")
-    rows = docs.withColumns({"_k": F.coalesce(F.col(key).cast("long"), F.lit(-1)), "_th": F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))})
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(row.alias("row"), F.coalesce(F.col(key).cast("long"), F.lit(-1)).alias("_k"), F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("_th"))
     gone = stage(gone, "gone")
-    out = rows.join(gone.select("_k", "_th").hint("shuffle_hash"), ["_k", "_th"], "left_anti").select(docs.columns)
+    out = rows.join(gone.select("_k", "_th").hint("shuffle_hash"), ["_k", "_th"], "left_anti").select("row.*")
     again = gone.where("stay > 0")  # one id with the same text several times: one of them stays
     if not again.limit(1).count():
         return out
-    some = rows.join(again.select("_k", "_th"), ["_k", "_th"]).dropDuplicates(["_k", "_th"])
-    return out.unionByName(some.select(docs.columns))
+    return out.unionByName(rows.join(again.select("_k", "_th"), ["_k", "_th"]).dropDuplicates(["_k", "_th"]).select("row.*"))

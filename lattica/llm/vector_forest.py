@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..plans.components import connected
 from ..shared import stage
-from .arrow import components, mix, runs
+from .arrow import components, forest, mix, runs
 
 #: Cosine of a link; trees; vectors of a leaf and of a node that one task finishes; margin as a share of the spread of the
 #: projections; how far the cut may lie from their mean.
@@ -139,25 +139,6 @@ def _reach(batches, centres: dict[str, list[tuple[int, np.ndarray]]], threshold:
                 yield pa.RecordBatch.from_arrays([*columns, *(b.column(k).take(pa.array(i)) for k in ("id", "vector", "size"))], names=["ball", "own", "id", "vector", "size"])
 
 
-def _forest(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Some of the true cells, as rows and columns, that join all that the true cells join."""
-    rows, columns, a, b = hit.any(axis=1), hit.any(axis=0), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    while rows.any():
-        new = np.array([rows.argmax()])
-        rows[new] = False
-        while len(new):
-            part = hit[new] & columns
-            got = np.flatnonzero(part.any(axis=0))
-            a, b = [*a, new[part[:, got].argmax(axis=0)]], [*b, got]
-            columns[got] = False
-            part = hit[:, got] & rows[:, None]
-            new = np.flatnonzero(part.any(axis=1))
-            if len(new):
-                a, b = [*a, new], [*b, got[part[new].argmax(axis=1)]]
-            rows[new] = False
-    return np.concatenate(a), np.concatenate(b)
-
-
 def _blocks(batches, threshold: float, kind: str):
     """All pairs of two blocks: ``(src, null, n)``, the weight that src links to, and ``(src, dst, 0)``, a spanning forest."""
     for t in runs(batches, ["ball", "l", "r"]):
@@ -179,7 +160,7 @@ def _blocks(batches, threshold: float, kind: str):
                 n[a] += hit.astype(float) @ size[b]
                 if not same:
                     n[b] += hit.T.astype(float) @ size[a]
-                i, j = _forest(hit)
+                i, j = forest(hit)
                 ties.append(np.stack([a[i], b[j]]))
         some = np.flatnonzero(n)
         least = components(len(x), *np.concatenate(ties, axis=1))
