@@ -25,7 +25,7 @@ from .arrow import components, forest, mix, runs
 
 #: Cosine of a link; trees; vectors of a leaf and of a node that one task finishes; margin as a share of the spread of the
 #: projections; how far the cut may lie from their mean.
-THRESHOLD, TREES, LEAF, TASK, MARGIN, JITTER = 0.93, 12, 512, 2048, 0.2, 0.25
+THRESHOLD, TREES, LEAF, TASK, MARGIN, JITTER = 0.93, 12, 128, 2048, 0.2, 0.25
 #: Vectors of a node that are looked at for a tight group, and the least links of one there; least and most vectors of a block.
 SAMPLE, SEEN, BLOCK, MOST = 256, 8, 2048, 16_384
 
