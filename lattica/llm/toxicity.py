@@ -215,14 +215,18 @@ def held_out(key: str):
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> Field:
     """Learn from labelled documents outside the held-out fifth. At most MAX_TOXIC + MAX_CLEAN texts of at most
-    MAX_CHARS code points each reach the driver."""
-    marks = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("_toxic"))
-    marks = marks.select(F.col("doc_id").alias("_key"), "_toxic")
-    rows = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
-    rows = rows.where(~held_out("_key") & (F.length("_text") <= MAX_CHARS)).join(marks, "_key")
-    order = [F.xxhash64("_key"), F.col("_key")]
-    some = [rows.where(F.col("_toxic") == y).orderBy(*order).limit(n).select("_text", "_toxic") for y, n in ((1, MAX_TOXIC), (0, MAX_CLEAN))]
-    got = some[0].unionAll(some[1]).collect()
+    MAX_CHARS code points each reach the driver. They are chosen by id first, without their texts; a second scan then
+    fetches the texts of the chosen. Rows that repeat an id and its text count once."""
+    marks = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    rows = docs.where(~held_out(key) & F.col(key).isNotNull() & (F.length(body) <= MAX_CHARS)).select(F.col(key).alias("doc_id"), F.xxhash64(body).alias("th"))
+    known = rows.join(marks, "doc_id").groupBy("doc_id", "th").agg(F.max("toxic").alias("toxic"))
+    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("th")]
+    some = [known.where(F.col("toxic") == y).orderBy(*order).limit(n) for y, n in ((1, MAX_TOXIC), (0, MAX_CLEAN))]
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    chosen = docs.sparkSession.createDataFrame(some[0].unionAll(some[1]).collect(), f"doc_id {kind}, th long, toxic int")
+    texts = docs.select(F.col(key).alias("doc_id"), body.alias("body")).withColumn("th", F.xxhash64("body"))
+    got = texts.join(F.broadcast(chosen), ["doc_id", "th"]).dropDuplicates(["doc_id", "th"]).orderBy(*order).select("body", "toxic").collect()
     return fit([r[0] for r in got], np.array([r[1] for r in got], np.int64))
 
 
@@ -279,6 +283,10 @@ def score(docs: DataFrame, field: Field, key: str = "doc_id", text: str = "text"
 
 
 def tag(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``score`` with a field trained on ``labels(doc_id, toxic)``: toxic is 0 or 1, a document labelled both ways counts as
+    toxic, null ids and null labels do not count. Labels of one kind only, or no labels, give every row one score.
+    Ties, repeated rows and ids are scored row by row; further columns of either table, whatever their names, are not
+    read. An empty table gives an empty result."""
     return score(docs, train(docs, labels, key, text), key, text)
 
 
