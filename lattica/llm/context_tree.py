@@ -16,6 +16,7 @@ corpus, are added up over buckets and weighted on the driver. Words of the base
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,16 +26,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shared import stage
-from .arrow import flat, mix, slices
+from .arrow import Words, flat, mix, slices
 
 #: Bytes of context; text bytes of a block; distinct grams and words that a bucket receives, about.
 DEPTH, BLOCK_BYTES, BUCKET_KEYS = 6, 12 << 20, 4_000_000
 SHALLOW = 3
+#: Log probabilities travel as fixed-point numbers: steps of 2^-36, which squeeze to five bytes.
+STEP = float(1 << 36)
 BOUNDARY = 0xFF
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(9, 14)]] = True
 
 _LOG_FACTORIAL = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, 4096)))])
 _LOG_HALF = np.concatenate([[0.5 * math.log(math.pi)], 0.5 * math.log(math.pi) + np.cumsum(np.log(np.arange(4095) + 0.5))])
@@ -56,34 +57,33 @@ def gram_keys(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     """Per position, boundary byte included: (last byte .. DEPTH-th last byte, byte); and where texts begin (n + 1)."""
     n = len(offsets) - 1
     pad = DEPTH + 1  # DEPTH before a text, one after it
-    line = np.full(len(data) + n * pad, BOUNDARY, np.uint8)
-    doc = np.repeat(np.arange(n), np.diff(offsets))
-    line[np.arange(len(data)) + doc * pad + DEPTH] = data
-    at = offsets + np.arange(n + 1)
-    spot = np.arange(at[-1]) + np.repeat(np.arange(n) * DEPTH + DEPTH, np.diff(at))
-    keys = np.zeros(len(spot), np.uint64)
+    inner = np.ones(len(data) + n * pad, bool)
+    starts = offsets[:-1] + np.arange(n) * pad
+    for k in range(DEPTH):
+        inner[starts + k] = False
+    ends = offsets[1:] + np.arange(n) * pad + DEPTH
+    spot = inner.copy()  # a text's bytes and the boundary after them
+    inner[ends] = False
+    line = np.full(len(inner), BOUNDARY, np.uint8)
+    line[inner] = data
+    keys = np.zeros(max(0, len(line) - DEPTH), np.uint64)
     for k in range(1, DEPTH + 1):
-        keys = keys << np.uint64(8) | line[spot - k]
-    return keys << np.uint64(8) | line[spot], at
+        keys <<= np.uint64(8)
+        keys |= line[DEPTH - k : len(line) - k]
+    keys <<= np.uint64(8)
+    keys |= line[DEPTH:]
+    return keys[spot[DEPTH:]], offsets + np.arange(n + 1)
+
+
+@lru_cache(maxsize=1)
+def _words() -> Words:
+    return Words()
 
 
 def word_keys(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of all texts, one end token after each text's; and where texts begin (n + 1)."""
-    size, n = len(data), len(offsets) - 1
-    word = ~_SPACE[data]
-    edge = np.zeros(size + 1, bool)
-    edge[offsets[:-1]] = True
-    begins, ends = word.copy(), word.copy()
-    begins[1:] &= ~word[:-1] | edge[1:size]
-    ends[:-1] &= ~word[1:] | edge[1:size]
-    s, e = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    base = int(mix(np.zeros(1, np.uint64), 21)[0]) & ~2 | 5
-    grow = lambda x: np.cumprod(np.concatenate([[np.uint64(1)], np.full(size, x, np.uint64)]))
-    letters = mix(np.arange(256, dtype=np.uint64), 22) | np.uint64(1)
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(letters[data] * grow(base)[:size])])
-    h = mix((sums[e] - sums[s]) * grow(pow(base, -1, 1 << 64))[s], 23)
-    at = np.searchsorted(s, offsets)
-    return np.insert(h, at[1:], np.uint64(0)), at + np.arange(n + 1)
+    h, at = _words()(data, offsets)
+    return np.insert(h, at[1:], np.uint64(0)), at + np.arange(len(offsets))
 
 
 def _chunks(offsets: np.ndarray, budget: int = 2 << 20):
@@ -94,6 +94,21 @@ def _chunks(offsets: np.ndarray, budget: int = 2 << 20):
         yield lo, hi, slice(int(offsets[lo]), int(offsets[hi])), offsets[lo : hi + 1] - offsets[lo]
 
 
+def _grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order that sorts ``keys``, where the groups of equal ones begin in it, and the distinct keys."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return order, first, keys[first]
+
+
+def _dealt(keys: np.ndarray, kind: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of ``keys`` by bucket, and where each bucket begins in it (buckets + 1)."""
+    owner = _bucket(keys, kind, buckets)
+    order = np.argsort(owner.astype(np.uint16) if buckets <= 1 << 16 else owner, kind="stable")
+    return order, np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=buckets))])
+
+
 def _bucket(keys: np.ndarray, kind: int, buckets: int) -> np.ndarray:
     own = keys >> np.uint64(8 * (DEPTH - SHALLOW + 1)) if kind == 0 else keys
     return (mix(own, 24) % np.uint64(buckets)).astype(np.int64)
@@ -142,7 +157,7 @@ def make_blocks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
             made += 1
             return pa.RecordBatch.from_arrays([
                 pa.array([(part << 32) + made]), list_of(pa.concat_arrays(ids), pa.int64()), list_of(pa.concat_arrays(held), pa.bool_()), list_of(pa.array(size), pa.int64()),
-                pa.array([zstandard.compress(data.tobytes(), 9)], pa.binary()), pa.array([n_train]), pa.array([n_keys]),
+                pa.array([zstandard.compress(data.tobytes(), 3)], pa.binary()), pa.array([n_train]), pa.array([n_keys]),
             ], names=["block", "ids", "held", "sizes", "body", "n_train", "n_keys"])
 
         for b in slices(batches, budget=BLOCK_BYTES // 4):
@@ -183,14 +198,12 @@ def gather(blocks: DataFrame, buckets: int) -> DataFrame:
                     for lo, hi, span, own in _chunks(offsets):
                         keys, at = keys_of(data[span], own)
                         train = np.repeat(~held[lo:hi], np.diff(at))
-                        distinct, where, total = np.unique(keys, return_inverse=True, return_counts=True)
+                        order, first, distinct = _grouped(keys)
                         found.append(distinct)
-                        uses.append(total - np.bincount(where[~train], minlength=len(distinct)))
+                        uses.append(np.add.reduceat(train[order], first, dtype=np.int64))
                     every, n = _sum_by(np.concatenate(found), np.concatenate(uses))
                     n = n.astype(np.uint32)
-                    owner = _bucket(every, kind, buckets)
-                    order = np.argsort(owner, kind="stable")
-                    cuts = np.searchsorted(owner[order], np.arange(buckets + 1))
+                    order, cuts = _dealt(every, kind, buckets)
                     full = np.flatnonzero(np.diff(cuts))
                     mine = [order[cuts[p] : cuts[p + 1]] for p in full]
                     yield pa.RecordBatch.from_arrays([
@@ -206,10 +219,8 @@ def _sum_by(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     """Distinct sorted keys and the sums of each value array."""
     if not len(keys):
         return (keys, *values)
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return (keys[first], *[np.add.reduceat(v[order], first) for v in values])
+    order, first, distinct = _grouped(keys)
+    return (distinct, *[np.add.reduceat(v[order], first) for v in values])
 
 
 def _heap(sym: np.ndarray, bit: int) -> np.ndarray:
@@ -307,9 +318,9 @@ def _total(t: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray]:
             keys.append(_keys_of(a.as_py()))
             counts.append(_widen(b.as_py(), np.uint32).astype(np.int64))
             held += len(keys[-1])
-            if held > 8 * BUCKET_KEYS:
-                k1, c1 = _sum_by(np.concatenate(keys), np.concatenate(counts))
-                keys, counts, held = [k1], [c1], 0
+            if held > BUCKET_KEYS:
+                keys, counts = ([x] for x in _sum_by(np.concatenate(keys), np.concatenate(counts)))
+                held = 0
     return _sum_by(np.concatenate(keys), np.concatenate(counts)) if keys else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
@@ -351,7 +362,8 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     def gram_answers(t: pa.Table) -> pa.Table:
         grams, counts = _total(t, 0)
         seen = counts > 0
-        logs = predict(grams, deep_levels(grams[seen], counts[seen]) | sent.value).astype(np.float32)
+        logs = predict(grams, deep_levels(grams[seen], counts[seen]) | sent.value)
+        logs = np.rint(logs * STEP).astype(np.int64)
         return answered(t, [_squeeze(logs[np.searchsorted(grams, _keys_of(x.as_py()))]) for x in t.column("keys")], 0)
 
     def word_answers(t: pa.Table) -> pa.Table:
@@ -368,19 +380,28 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
         data, offsets = _open(block)
         out = {}
         for kind, keys_of in ((0, gram_keys), (1, word_keys)):
-            every = np.unique(np.concatenate([np.unique(keys_of(data[span], own)[0]) for _, _, span, own in _chunks(offsets)]))
-            owner, value = _bucket(every, kind, buckets), np.zeros(len(every))
+            chunks = []  # distinct keys, the code of each position, where texts begin
+            for _, _, span, own in _chunks(offsets):
+                keys, at = keys_of(data[span], own)
+                order, first, distinct = _grouped(keys)
+                codes = np.empty(len(keys), np.int32)
+                codes[order] = np.repeat(np.arange(len(first), dtype=np.int32), np.diff(first, append=len(keys)))
+                chunks.append((distinct, codes, at))
+            every = _grouped(np.concatenate([c[0] for c in chunks]))[2]
+            order, cuts = _dealt(every, kind, buckets)
+            value = np.zeros(len(every))
             for k, p, v in zip(got.column("kind").to_pylist(), got.column("bucket").to_pylist(), got.column("values"), strict=True):
                 if k == kind:
-                    value[owner == p] = _widen(v.as_py(), np.float32 if kind == 0 else np.int64)
+                    value[order[cuts[p] : cuts[p + 1]]] = _widen(v.as_py(), np.int64)
             known = value > 0
-            if kind:
+            if kind == 0:
+                value /= STEP
+            else:
                 value = np.log10((value + 1) / (n_train + n_types + 1))
             parts = []
-            for _, _, span, own in _chunks(offsets):
-                keys, at = keys_of(data[span], own)
-                where = np.searchsorted(every, keys)
-                parts.append((np.add.reduceat(value[where], at[:-1]), np.diff(at), np.add.reduceat(known[where].astype(np.int64), at[:-1])))
+            for distinct, codes, at in chunks:
+                place = np.searchsorted(every, distinct)
+                parts.append((np.add.reduceat(value[place][codes], at[:-1]), np.diff(at), np.add.reduceat(known[place][codes].astype(np.int64), at[:-1])))
             out[kind] = [np.concatenate(x) for x in zip(*parts, strict=True)]
         (logs, n_bytes, _), (base, n_tokens, n_known) = out[0], out[1]
         return pa.table([
