@@ -26,10 +26,11 @@ def block_pid(block: int):
     """Contiguous blocks of source ids; whole blocks are dealt by hash."""
     if block < 1:
         raise ValueError("block must be positive")
-    return lambda src, dst, n: _wrapped_abs_mod(F.floor(src / F.lit(block)), n)
+    return lambda src, dst, n: _wrapped_abs_mod(F.call_function("div", src, F.lit(block)), n)
 
 
 def random_cut_pid(src: Column, dst: Column, n: int) -> Column:
     """Vertex cut: parallel edges together, the edges of a vertex spread."""
-    mixed = F.pmod(src * F.lit(31) + dst, F.lit(1 << 31))
+    low = F.lit(1 << 31)  # residues first: the product of a large id would overflow
+    mixed = F.pmod(F.pmod(src, low) * F.lit(31) + F.pmod(dst, low), low)
     return F.pmod(mixed * F.lit(1000003), F.lit(n)).cast("int")

@@ -88,8 +88,12 @@ class Graph:
         return replace(self, edges=e)
 
     # -- memory --------------------------------------------------------------------------------
-    def persist(self) -> Graph:
-        return replace(self, vertices=self.vertices.persist(), edges=self.edges.persist())
+    def persist(self, eager: bool = False) -> Graph:
+        """Cache both tables; ``eager`` computes them now."""
+        out = replace(self, vertices=self.vertices.persist(), edges=self.edges.persist())
+        if eager:
+            out.vertices.count(), out.edges.count()
+        return out
 
     def close(self) -> None:
         self.vertices.unpersist()

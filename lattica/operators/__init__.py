@@ -1,4 +1,4 @@
 from .cost import partition_report
-from .pregel import PregelSpec, Send, pregel
+from .pregel import DIRECTIONS, PregelSpec, Send, active_edges, pregel
 
-__all__ = ["PregelSpec", "Send", "partition_report", "pregel"]
+__all__ = ["DIRECTIONS", "PregelSpec", "Send", "active_edges", "partition_report", "pregel"]

@@ -21,6 +21,11 @@ def materialise(placed: DataFrame, n: int) -> DataFrame:
     return placed.repartitionById(n, "pid")
 
 
+def per_partition(placed: DataFrame, procedure, schema: str) -> DataFrame:
+    """``procedure``, a function of one Arrow table, over the rows of each ``pid``; a pid must fit a task's memory."""
+    return placed.groupBy("pid").applyInArrow(procedure, schema)
+
+
 def landmark_groups(neighbours: DataFrame, landmarks: DataFrame, n: int) -> DataFrame:
     """``(landmark, pid)``: landmarks whose neighbourhoods meet share a group, transitively; groups are numbered
     by their smallest landmark and dealt round robin."""

@@ -17,18 +17,35 @@ from pyspark.sql import functions as F
 
 from ..shared import drop, stage
 
-#: Activity rules: which endpoint must have changed in the last step for an edge to be scanned.
-DIRECTIONS = ("out", "either")
+#: Activity rules: which end of an edge must have changed in the last step for the edge to be scanned. "out": the end
+#: that a rule sends from; "either": one of both; "all": none.
+DIRECTIONS = ("out", "either", "all")
+
+
+def active_edges(edges: DataFrame, active: DataFrame, direction: str = "out", origin: str = "src") -> DataFrame:
+    """The rows of ``edges`` that a superstep scans, given the distinct ids in ``active(id)``."""
+    if direction not in DIRECTIONS:
+        raise ValueError(f"unknown direction {direction!r}; one of {DIRECTIONS}")
+    if direction == "all":
+        return edges
+    other = "dst" if origin == "src" else "src"
+    here, there = (active.select(F.col("id").alias(c)) for c in (origin, other))
+    out = edges.join(here, origin, "left_semi")
+    if direction == "out":
+        return out
+    return out.unionByName(edges.join(here, origin, "left_anti").join(there, other, "left_semi"))
 
 
 @dataclass(frozen=True)
 class Send:
     """One message rule. ``to`` names the receiving endpoint; ``where`` and ``values`` use the edge columns and
-    the sender's state columns under their own names. A rule with ``to="src"`` sends against the edge."""
+    the sender's state columns under their own names. A rule with ``to="src"`` sends against the edge.
+    ``kernel``, a ``mapInArrow`` function and its schema, may turn the scanned rows into others before ``values``."""
 
     values: dict[str, Column]
     to: str = "dst"
     where: Column | None = None
+    kernel: tuple[Callable, str] | None = None
 
 
 @dataclass(frozen=True)
@@ -36,7 +53,10 @@ class PregelSpec:
     """``keys``: the key of the state, vertex id first; further keys travel with the messages.
     ``combine``: aggregates per ``keys + combine_keys``; ``choose``: optional second aggregates per ``keys``.
     ``update``: new state columns from the old ones and the merged message columns (null: no message).
-    ``changed``: activity after the step (default: a message came). ``grow``: messages may create state rows."""
+    ``changed``: activity after the step (default: a message came). ``grow``: messages may create state rows.
+    ``direction``: one of DIRECTIONS. ``merge``: aggregates that make parallel edges one. ``stage_every``: steps from
+    one written state to the next; those between are cached. ``trace``: ``on_step`` also gets each state, and none is
+    deleted."""
 
     send: list[Send]
     combine: dict[str, Column]
@@ -49,6 +69,17 @@ class PregelSpec:
     grow: bool = False
     max_iter: int | None = None
     on_step: Callable[[dict], None] | None = None
+    direction: str = "out"
+    merge: dict[str, Column] = field(default_factory=dict)
+    stage_every: int = 1
+    trace: bool = False
+
+
+def lay(edges: DataFrame, origin: str, merge: dict[str, Column] | None = None) -> DataFrame:
+    """Edges cached in the layout of their joins with senders, so that supersteps exchange only state and messages."""
+    n = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    edges = edges.repartition(n, origin)
+    return (edges.groupBy("src", "dst").agg(*[c.alias(k) for k, c in merge.items()]) if merge else edges).persist()
 
 
 def pregel(state: DataFrame, edges: DataFrame, spec: PregelSpec) -> DataFrame:
@@ -59,33 +90,50 @@ def pregel(state: DataFrame, edges: DataFrame, spec: PregelSpec) -> DataFrame:
     """
     if spec.max_iter is not None and spec.max_iter <= 0:
         raise ValueError("max_iter must be positive")
+    if spec.direction not in DIRECTIONS:
+        raise ValueError(f"unknown direction {spec.direction!r}; one of {DIRECTIONS}")
     columns, step = state.columns, 0
     sends_if = spec.sends_if if spec.sends_if is not None else F.lit(True)
+    laid = {o: lay(edges, o, spec.merge) for o in {"src" if r.to == "dst" else "dst" for r in spec.send}}
     state, active = _staged(state, sends_if)
+    olds: list[DataFrame] = []
     while active and (spec.max_iter is None or step < spec.max_iter):
         began = time.monotonic()
-        new = _apply(state, _messages(state, edges, spec, sends_if), spec).select(*columns)
-        old, (state, active) = state, _staged(new, sends_if)
-        drop(old)
+        new = _apply(state, _messages(state, laid, spec, sends_if), spec).select(*columns)
         step += 1
+        keep = bool(step % spec.stage_every) and step != spec.max_iter
+        last, (state, active) = state, _staged(new, sends_if, cached=keep)
+        olds = [*olds, last]
+        if not keep:  # what a written state came from is not needed any more
+            for old in [] if spec.trace else olds:
+                old.unpersist() if old.is_cached else drop(old)
+            olds = []
         if spec.on_step:
-            spec.on_step({"step": step, "n_active": active, "secs": time.monotonic() - began})
+            spec.on_step({"step": step, "n_active": active, "secs": time.monotonic() - began} | ({"state": state} if spec.trace else {}))
+    for e in laid.values():
+        e.unpersist()
     return state
 
 
-def _staged(state: DataFrame, sends_if: Column) -> tuple[DataFrame, int]:
+def _staged(state: DataFrame, sends_if: Column, cached: bool = False) -> tuple[DataFrame, int]:
+    if cached:
+        out = state.persist()
+        return out, out.where(F.col("active") & sends_if).count()
     seen = Observation()
     out = stage(state.observe(seen, F.count_if(F.col("active") & sends_if).alias("n")), "superstep")
     return out, seen.get["n"] or 0
 
 
-def _messages(state: DataFrame, edges: DataFrame, spec: PregelSpec, sends_if: Column) -> DataFrame:
-    senders = state.where(F.col("active") & sends_if).drop("active")
+def _messages(state: DataFrame, laid: dict[str, DataFrame], spec: PregelSpec, sends_if: Column) -> DataFrame:
+    senders = state.where(F.col("active") & sends_if if spec.direction == "out" else sends_if).drop("active")
+    active = state.where("active").select(F.col(spec.keys[0]).alias("id")).distinct() if spec.direction == "either" else None
     parts = []
     for rule in spec.send:
         origin = "src" if rule.to == "dst" else "dst"
+        edges = laid[origin] if active is None else active_edges(laid[origin], active, "either", origin)
         hop = edges.join(senders.withColumnRenamed(spec.keys[0], origin), origin)
         hop = hop.where(rule.where) if rule.where is not None else hop
+        hop = hop.mapInArrow(*rule.kernel) if rule.kernel else hop
         extra = [F.col(k) for k in spec.keys[1:]]
         parts.append(hop.select(F.col(rule.to).alias(spec.keys[0]), *extra, *[v.alias(c) for c, v in rule.values.items()]))
     out = parts[0]

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from .functions.pids import MIXING_PRIME
-from .queries import BLOCK, PARTS
+from .queries import BLOCK, LOG_NORMAL, PARTS
 from .sources.fixtures import WHOLE
+from .sources.generate import EXTRA, MU, SIGMA
 
 EDGES = {
     "li": "SELECT l_partkey AS src, l_suppkey AS dst, l_quantity AS w FROM lineitem",
@@ -93,6 +94,29 @@ def _history() -> str:
     return _with("ev", *_lpa_ctes(15), log, h)
 
 
+def _history_resume() -> str:
+    again = "r0 AS MATERIALIZED (SELECT id, label, votes, true AS active, 0::BIGINT AS heard FROM s3)"
+    heard = " UNION ALL ".join(f"SELECT id, {i} AS r, heard FROM s{i} WHERE active" for i in (101, 102))
+    log = f"log AS (SELECT id, (1 + row_number() OVER (PARTITION BY id ORDER BY r))::INTEGER AS step, heard::BIGINT AS n_labels FROM ({heard}))"
+    return _with("ev", *_lpa_ctes(3), again, _lpa_round(101, "r0"), _lpa_round(102, "s101"), log) + "SELECT id, 0 AS step, 0::BIGINT AS n_labels FROM v UNION ALL SELECT id, 1, 0 FROM v UNION ALL SELECT id, step, n_labels FROM log"
+
+
+#: Which edges a superstep scans, given that ids divisible by seven are active.
+HEARD = {"out": "e.src % 7 = 0", "either": "e.src % 7 = 0 OR e.dst % 7 = 0", "all": "true"}
+
+
+def _log_normal(n: int = LOG_NORMAL, seed: int = 42) -> str:
+    def uniform(tag: str, *ids: str) -> str:
+        parts = " || ".join(f"'/' || {i}" for i in ids)
+        return f"((('0x' || substr(md5('{seed}/{tag}' || {parts}), 1, 12))::BIGINT::DOUBLE + 0.5) / {float(1 << 48)!r})"
+
+    normal = f"sqrt(-2.0 * ln({uniform('r', 'src')})) * cos(2.0 * pi() * {uniform('t', 'src')})"
+    return f"""WITH s AS (SELECT range AS src FROM range(0, {n})),
+d AS (SELECT src, least(floor(exp({MU!r} + {SIGMA!r} * {normal})), {n - 1})::INTEGER AS deg, 1.0 + {EXTRA!r} * {uniform('w', 'src')} AS w FROM s),
+k AS (SELECT src, w, unnest(range(1, deg + 1)) AS k FROM d WHERE deg > 0)
+SELECT src, floor({uniform('d', 'src', 'k')} * {n})::BIGINT AS dst, round(w, 6) AS w FROM k"""
+
+
 #: Rounds past the convergence of delta PageRank at tolerance 0.001.
 PR_ROUNDS = 90
 
@@ -176,6 +200,10 @@ def oracles() -> dict[str, str]:
         "reverse_edges": _with("rev") + "SELECT src, dst, w FROM e",
         "vertex_filter": _with("li") + f"SELECT id, degree FROM {deg}",
         "active_scan": _with("li") + "SELECT 'out' AS direction, src, dst, w FROM e WHERE src % 7 = 0 UNION ALL SELECT 'either', src, dst, w FROM e WHERE src % 7 = 0 OR dst % 7 = 0",
+        **{f"superstep_{k}": _with("li") + f"SELECT id, coalesce(min(e.src), -1) AS least, count(e.src) AS heard FROM v LEFT JOIN e ON e.dst = v.id AND ({rule}) GROUP BY 1" for k, rule in HEARD.items()},
+        "cc_skipping": _cc("li") + cc,
+        "lognormal_graph": _log_normal(),
+        "lpa_history_resume": _history_resume(),
         "sssp": _sssp("li") + dist,
         "sssp_skipping": _sssp("li") + dist,
         "sssp_orders": _sssp("ord") + dist,

@@ -17,7 +17,7 @@ def k_hop(graph: Graph, landmarks: list[int], hops: int) -> DataFrame:
         return state.drop("active")
     left = {"m": F.col("budget") - 1}
     spec = PregelSpec(
-        keys=("id", "landmark"), grow=True, max_iter=hops, send=[Send(left), Send(left, to="src")],
+        merge={"n": F.count("*")}, keys=("id", "landmark"), grow=True, max_iter=hops, send=[Send(left), Send(left, to="src")],
         combine={"m": F.min("m")}, update={"budget": F.coalesce("budget", "m")}, changed=F.col("budget").isNull(),
     )
-    return pregel(state, graph.edges.select("src", "dst").distinct(), spec).drop("active")
+    return pregel(state, graph.edges, spec).drop("active")

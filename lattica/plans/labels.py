@@ -20,14 +20,10 @@ def _spec(max_iter: int, history: bool, on_step=None) -> PregelSpec:
     return PregelSpec(
         send=[Send({"lab": F.col("label"), "n": F.col("n")})], combine_keys=("lab",), combine={"c": F.sum("n")},
         choose=choose, update=update, max_iter=max_iter, on_step=on_step,
+        merge={"n": F.count("*")},  # parallel edges vote separately; their number travels once
     )
 
 
-def _counted(graph: Graph) -> DataFrame:
-    """Parallel edges vote separately; their number travels once."""
-    return graph.edges.groupBy("src", "dst").agg(F.count("*").alias("n"))
-
-
 def label_propagation(graph: Graph, max_iter: int = 15, on_step=None) -> DataFrame:
     """``(id, label, votes)``. Only vertices that received votes in the last round vote; all vote in round one."""
     state = graph.vertices.select("id", F.col("id").alias("label"), F.lit(0).cast("long").alias("votes"))
@@ -36,21 +32,16 @@ def label_propagation(graph: Graph, max_iter: int = 15, on_step=None) -> DataFra
 
 def label_resume(graph: Graph, state: DataFrame, max_iter: int, on_step=None) -> DataFrame:
     """Go on from ``state(id, label, votes)``. Every vertex is active again, so a + b rounds are not a + b resumed."""
-    edges = _counted(graph).persist()
-    out = pregel(state.withColumn("active", F.lit(True)), edges, _spec(max_iter, False, on_step)).drop("active")
-    edges.unpersist()
-    return out
+    return pregel(state.withColumn("active", F.lit(True)), graph.edges, _spec(max_iter, False, on_step)).drop("active")
 
 
-def label_history(graph: Graph, max_iter: int = 15) -> DataFrame:
+def label_history(graph: Graph, max_iter: int = 15, start: DataFrame | None = None) -> DataFrame:
     """``(id, step, n_labels)``: entries 0 and 1 are the seed and the initial empty message, then one entry per
-    message received, with the number of distinct labels heard."""
+    message received, with the number of distinct labels heard. ``start(id, label, votes)`` resumes from there."""
     first = F.array(*[F.struct(F.lit(i).alias("step"), F.lit(0).cast("long").alias("n_labels")) for i in (0, 1)])
-    state = graph.vertices.select("id", F.col("id").alias("label"), F.lit(0).cast("long").alias("votes"), first.alias("history"), F.lit(True).alias("active"))
-    edges = _counted(graph).persist()
-    out = pregel(state, edges, _spec(max_iter, True)).select("id", F.explode("history").alias("h")).select("id", "h.step", "h.n_labels")
-    edges.unpersist()
-    return out
+    state = graph.vertices.select("id", F.col("id").alias("label"), F.lit(0).cast("long").alias("votes")) if start is None else start
+    state = state.select("id", "label", "votes", first.alias("history"), F.lit(True).alias("active"))
+    return pregel(state, graph.edges, _spec(max_iter, True)).select("id", F.explode("history").alias("h")).select("id", "h.step", "h.n_labels")
 
 
 def history_rollup(history: DataFrame, steps: int = 15) -> DataFrame:

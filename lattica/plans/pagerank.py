@@ -18,17 +18,15 @@ def pagerank(graph: Graph, tol: float = 0.001, reset: float = 0.15, source: int
         raise ValueError("reset must lie in [0, 1]")
     start = F.lit(float(reset)) if source is None else F.when(F.col("id") == source, 1.0).otherwise(0.0)
     state = graph.vertices.select("id", start.alias("rank"), start.alias("delta"), F.lit(True).alias("active"))
-    weighted = graph.degree_weights().edges.groupBy("src", "dst").agg(F.sum("w").alias("w")).persist()
     keep = F.lit(1.0 - reset)
     spec = PregelSpec(
+        merge={"w": F.sum("w")},
         send=[Send({"m": F.col("delta") * F.col("w")})], sends_if=F.col("delta") > F.lit(float(tol)),
         combine={"m": F.sum("m")},
         update={"rank": F.col("rank") + keep * F.col("m"), "delta": keep * F.col("m")},
         max_iter=max_iter, on_step=on_step,
     )
-    out = pregel(state, weighted, spec).select("id", "rank", "delta")
-    weighted.unpersist()
-    return out
+    return pregel(state, graph.degree_weights().edges, spec).select("id", "rank", "delta")
 
 
 def normalise(ranks: DataFrame, personalised: bool = False) -> DataFrame:

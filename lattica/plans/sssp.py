@@ -16,19 +16,15 @@ def shortest_paths(graph: Graph, landmarks: list[int], max_iter: int | None = No
         raise ValueError("negative edge weight")
     marks = sorted(set(landmarks))
     seeds = graph.vertices.where(F.col("id").isin(marks)).select("id", F.col("id").alias("landmark"), F.lit(0.0).alias("dist"), F.lit(True).alias("active"))
-    # parallel edges: only the cheapest can matter
-    cheapest = graph.edges.groupBy("src", "dst").agg(F.min("w").alias("w"))
-    cheapest = cheapest.persist()
     spec = PregelSpec(
+        merge={"w": F.min("w")},  # of parallel edges only the cheapest can matter
         keys=("id", "landmark"), grow=True, max_iter=max_iter, on_step=on_step,
         send=[Send({"m": F.col("dist") + F.col("w")})],
         combine={"m": F.min("m")},
         update={"dist": F.least("dist", "m")},
         changed=F.col("dist").isNull() | (F.col("m") < F.col("dist")),
     )
-    out = pregel(seeds, cheapest, spec).select("id", "landmark", "dist")
-    cheapest.unpersist()
-    return out
+    return pregel(seeds, graph.edges, spec).select("id", "landmark", "dist")
 
 
 def pack(paths: DataFrame, landmarks: list[int]) -> DataFrame:

@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 from . import plans
 from .functions.pids import block_pid, random_cut_pid, reverse_1d_pid
 from .graph import Graph, max_id
-from .operators import cost
+from .operators import PregelSpec, Send, active_edges, cost, pregel
 from .operators.placement import place, pre_search
 from .plans.labels import history_rollup
 from .sources import FIXTURES, fixture, log_normal_graph, parse_edges
 from .sources.fixtures import WHOLE, default_landmarks
 
-#: Parameters shared with the SQL: partitions, ids per block.
-PARTS, BLOCK = 4, 500
+#: Parameters shared with the SQL: partitions, ids per block, vertices of the random graph.
+PARTS, BLOCK, LOG_NORMAL = 4, 500, 500
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -162,11 +162,35 @@ def vertex_filter(spark, d):
 def active_scan(spark, d):
     """The activity restriction of a superstep: edges whose source (out) or either end (either) is active."""
     g = graph("li", spark, d)
-    active = g.vertices.where("id % 7 = 0").select("id")
-    out = g.edges.join(active.withColumnRenamed("id", "src"), "src", "left_semi")
-    other = g.edges.join(active.withColumnRenamed("id", "src"), "src", "left_anti").join(active.withColumnRenamed("id", "dst"), "dst", "left_semi")
-    tag = lambda df, t: df.select(F.lit(t).alias("direction"), "src", "dst", "w")
-    return tag(out, "out").unionAll(tag(out, "either")).unionAll(tag(other, "either"))
+    active = g.vertices.where("id % 7 = 0").select("id")  # the feature: some vertices are active, others not
+    tag = lambda t: active_edges(g.edges, active, t).select(F.lit(t).alias("direction"), "src", "dst", "w")
+    return tag("out").unionAll(tag("either"))
+
+
+def _heard(direction, spark, d):
+    """One superstep from the same active vertices: the smallest sender and the number of messages that each vertex hears."""
+    g = graph("li", spark, d)
+    state = g.vertices.select("id", F.lit(-1).cast("long").alias("least"), F.lit(0).cast("long").alias("heard"), (F.col("id") % 7 == 0).alias("active"))
+    spec = PregelSpec(
+        send=[Send({"m": F.col("src")})], combine={"m": F.min("m"), "k": F.count("*")}, direction=direction, max_iter=1,
+        update={"least": F.col("m"), "heard": F.col("k")},
+    )
+    return pregel(state, g.edges, spec).select("id", "least", "heard")
+
+
+@query
+def superstep_out(spark, d):
+    return _heard("out", spark, d)
+
+
+@query
+def superstep_either(spark, d):
+    return _heard("either", spark, d)
+
+
+@query
+def superstep_all(spark, d):
+    return _heard("all", spark, d)
 
 
 # -- shortest paths --------------------------------------------------------------------------------
@@ -200,10 +224,14 @@ def sssp_map_packed(spark, d):
 @query
 def sssp_skipping(spark, d):
     """Superstep skipping: local fixed points inside each edge partition between exchanges; same distances."""
-    from .plans.skipping import shortest_paths_skipping
-
     g = graph("li", spark, d)
-    return shortest_paths_skipping(g, landmarks(g.edges), PARTS).select("id", "landmark", F.round("dist", 6).alias("dist"))
+    return plans.shortest_paths_skipping(g, landmarks(g.edges), PARTS).select("id", "landmark", F.round("dist", 6).alias("dist"))
+
+
+@query
+def cc_skipping(spark, d):
+    """The same driver with another algorithm, one local step at a time and the vote on what may be skipped."""
+    return plans.connected_skipping(graph("li", spark, d), PARTS, local_steps=1)
 
 
 # -- components ------------------------------------------------------------------------------------
@@ -249,6 +277,12 @@ def lpa_history(spark, d):
     return plans.label_history(graph("ev", spark, d), 15)
 
 
+@query
+def lpa_history_resume(spark, d):
+    g = graph("ev", spark, d)
+    return plans.label_history(g, 2, plans.label_propagation(g, 3))
+
+
 @query
 def lpa_history_rollup(spark, d):
     return history_rollup(plans.label_history(graph("ev", spark, d), 15))
@@ -348,4 +382,4 @@ def partition_report(spark, d):
 
 @query
 def lognormal_graph(spark, d):
-    return log_normal_graph(spark, 500).edges
+    return log_normal_graph(spark, LOG_NORMAL).edges.select("src", "dst", F.round("w", 6).alias("w"))

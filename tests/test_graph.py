@@ -2,17 +2,20 @@
 
 import math
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lattica import Graph
-from lattica.functions import block_pid, reverse_1d_pid
+from lattica import Graph, cli
+from lattica.functions import block_pid, random_cut_pid, reverse_1d_pid
+from lattica.operators import PregelSpec, Send, pregel
 from lattica.operators.cost import partition_report
-from lattica.operators.placement import materialise, place
+from lattica.operators.placement import materialise, per_partition, place
+from lattica.operators.pregel import lay
 from lattica.plans import connected, connected_capped, connected_components, k_hop, label_history, label_propagation, normalise, pagerank, shortest_paths
-from lattica.plans.skipping import shortest_paths_skipping
+from lattica.plans.skipping import connected_skipping, shortest_paths_skipping
 from lattica.plans.sssp import as_map
-from lattica.sources import parse_edges
+from lattica.sources import parse_edges, read_edge_list
 
 
 def graph(spark, rows):
@@ -97,6 +100,95 @@ def test_parser(spark):
     assert sorted(map(tuple, parse_edges(lines).collect())) == [(0, 1, 1.0), (1, 2, 2.5), (3, 4, 1.0)]
 
 
+def test_a_line_of_one_field_raises(spark):
+    with pytest.raises(Exception, match="not an edge: 7"):
+        parse_edges(spark.createDataFrame([("0 1",), ("7",)], "value string")).collect()
+
+
+def test_partition_ids_of_large_ids(spark):
+    ids = spark.createDataFrame([((1 << 53) + 1, 0), ((1 << 62) + 5, (1 << 62) + 9)], "src long, dst long")
+    s, d = F.col("src"), F.col("dst")
+    got = ids.select(block_pid(1)(s, d, 1009).alias("b"), reverse_1d_pid(d, s, 1009).alias("r"), random_cut_pid(s, d, 7).alias("c")).collect()
+    assert all(r.b == r.r for r in got)
+    mixed = [(a * 31 + b) % (1 << 31) * 1000003 % 7 for a, b in [((1 << 53) + 1, 0), ((1 << 62) + 5, (1 << 62) + 9)]]
+    assert [r.c for r in got] == mixed
+
+
+def test_skipping_votes(spark):
+    """A chain inside one partition needs no exchange; one over two partitions does."""
+    g = graph(spark, [(i, i + 1, 1.0) for i in range(6)])
+    one, two = [], []
+    want = {(i, 0): float(i) for i in range(7)}
+    assert table(shortest_paths_skipping(g, [0], 1, local_steps=1, on_step=one.append)) == want
+    assert [m["skipped"] for m in one] == [True] * 6 + [False] and not any(m["sync"] for m in one)
+    halves = lambda src, dst, n: (src >= 3).cast("int")
+    assert table(shortest_paths_skipping(g, [0], 2, halves, on_step=two.append)) == want
+    assert sum(m["sync"] for m in two) == 1 and len(two) == 2
+    assert table(connected_skipping(g, 2, halves, local_steps=2)) == {i: 0 for i in range(7)}
+
+
+@pytest.mark.parametrize("direction, want", [("out", {1: 1}), ("either", {1: 1, 0: 1}), ("all", {1: 1, 0: 1, 3: 1})])
+def test_directions(spark, direction, want):
+    """Messages run 0 -> 1, 2 -> 0 and 2 -> 3; only vertex 0 is active."""
+    g = graph(spark, [(0, 1, 1.0), (2, 0, 1.0), (2, 3, 1.0)])
+    state = g.vertices.select("id", F.lit(0).cast("long").alias("n"), (F.col("id") == 0).alias("active"))
+    spec = PregelSpec(send=[Send({"m": F.col("src")})], combine={"k": F.count("*")}, update={"n": F.col("k")}, direction=direction, max_iter=1)
+    assert {r.id: r.n for r in pregel(state, g.edges, spec).where("n > 0").collect()} == want
+
+
+def test_trace_interval_and_kernel(spark):
+    def double(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("dst"), pa.array(2 * b.column("dist").to_numpy())], names=["dst", "dist"])
+
+    g = graph(spark, [(0, 1, 1.0), (1, 2, 1.0), (2, 3, 1.0)])
+    state = g.vertices.select("id", F.when(F.col("id") == 0, 1.0).alias("dist"), (F.col("id") == 0).alias("active"))
+    seen = []
+    spec = PregelSpec(
+        send=[Send({"m": F.col("dist")}, kernel=(double, "dst long, dist double"))], combine={"m": F.min("m")},
+        update={"dist": F.col("m")}, stage_every=2, trace=True, on_step=seen.append,
+    )
+    assert table(pregel(state, g.edges, spec).select("id", "dist")) == {0: 1.0, 1: 2.0, 2: 4.0, 3: 8.0}
+    assert [m["state"].where("dist is not null").count() for m in seen] == [2, 3, 4, 4]
+
+
+def test_cached_edges_are_not_exchanged_again(spark):
+    """Above the cached edges of a superstep there is no exchange, even without broadcast joins."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        edges = lay(graph(spark, [(0, 1, 1.0), (1, 2, 1.0)]).edges, "src", {"w": F.min("w")})
+        edges.count()
+        plan = edges.join(spark.range(3).withColumnRenamed("id", "src").repartition(2), "src")._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+        side = plan[: plan.index("InMemoryTableScan")]
+        assert "Exchange" not in side
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_edge_lists_and_the_command_line(spark, tmp_path, capsys):
+    path = tmp_path / "edges.txt"
+    path.write_text("# a graph\n0 1 2.5\n1\t2\n\n2 0 1\n")
+    g = read_edge_list(spark, f"file://{path}", 2, reverse_1d_pid)
+    assert sorted(map(tuple, g.edges.collect())) == [(0, 1, 2.5), (1, 2, 1.0), (2, 0, 1.0)]
+    assert read_edge_list(spark, f"file://{path}", 3).edges.rdd.getNumPartitions() == 3
+    for algorithm, lines in [("sssp", 3), ("lp", 3), ("pr", 3), ("cc", 3), ("cost", 3)]:
+        cli.main(["--graphfile", f"file://{path}", "--algorithm", algorithm, "--landmarks", "0", "--partitions", "3", "--metrics"])
+        shown = [x for x in capsys.readouterr().out.splitlines() if not x.startswith("{")]
+        assert 0 < len(shown) <= lines
+    cli.main(["--graphfile", f"file://{path}", "--algorithm", "cc", "--out", f"{tmp_path}/out"])
+    assert table(spark.read.parquet(f"{tmp_path}/out")) == {0: 0, 1: 0, 2: 0}
+    with pytest.raises(ValueError):
+        cli.run(spark, "none", f"file://{path}")
+
+
+def test_per_partition_and_eager_persist(spark):
+    g = graph(spark, [(0, 1, 1.0), (1, 2, 1.0), (2, 3, 1.0)]).persist(eager=True)
+    count = lambda t: pa.table({"pid": t.column("pid")[:1], "n": pa.array([t.num_rows], pa.int64())})
+    got = per_partition(place(g.edges, reverse_1d_pid, 2), count, "pid int, n long").collect()
+    assert sum(r.n for r in got) == 3 and len({r.pid for r in got}) == len(got)
+    g.close()
+
+
 def test_empty_graph(spark):
     g = graph(spark, [])
     assert g.vertices.count() == 0 and connected(g.edges).count() == 0
