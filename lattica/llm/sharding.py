@@ -3,14 +3,17 @@
 The key is (64-bit hash of the text, doc_id, a row number), so equal texts stand together and a group is only cut
 where one shard cannot hold it. Candidate boundaries (probes) between each splitter's known lower and upper bound
 are laid out by interpolation; one pass counts the exact bytes and rows below all probes, and the bounds close in
-until every splitter is within tolerance. Then the rows move once. All of it is built-in expressions; the driver
-holds a few probes per splitter, whatever the data's size.
+until every splitter is within tolerance. A pass counts in Arrow batches, each partition by itself; the driver holds a
+few probes for each of the shards' splitters, whatever the data's size. Then the rows move once, by range of shard and
+key, so that many tasks rank one shard: a row's slot is its place in its partition plus the rows of the shard in the
+partitions before, one number per partition and shard.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +25,8 @@ from ..shared import stage
 
 #: Bytes counted for each document besides its text.
 OVERHEAD = 16
-#: Allowed error of a splitter, as a share of a shard; most bytes that one ranking task gets.
-TOLERANCE, TASK_BYTES = 0.002, 256 << 20
+#: Allowed error of a splitter, as a share of a shard.
+TOLERANCE = 0.002
 _LOW, _HIGH = -(1 << 63), (1 << 63) - 1
 
 Key = tuple[int, int, int]
@@ -120,19 +123,19 @@ def _search(keys: DataFrame, total: dict, parts: int, tolerance: float, shard: f
         if not asked:
             return sorted(s.best for s in todo)
         found = _count(keys, asked)  # one row per probe at most
-        size = rows = 0
-        for at, key in enumerate(asked):
-            n, k = found.get(at, (0, 0))
-            size, rows = size + n, rows + k
-            for s in todo:
-                s.offer(key, size, rows)
+        below = list(accumulate((found.get(at, (0, 0)) for at in range(len(asked))), lambda a, b: (a[0] + b[0], a[1] + b[1])))
+        sizes = [x[0] for x in below]
+        for s in todo:  # the nearest probes on either side of its target
+            for at in {bisect_left(sizes, s.target), bisect_right(sizes, s.target) - 1} & {*range(len(asked))}:
+                s.offer(asked[at], *below[at])
 
 
 def histogram_shards(docs: DataFrame, shards: int = 40, key: str = "doc_id", text: str = "text", tolerance: float = TOLERANCE) -> DataFrame:
     """``(doc_id, size, text_crc32, shard, slot)``: slots are gapless from 0 in each shard, in key order.
 
     Size is the UTF-8 bytes of the text (null: none) plus 16; the crc of a null text is that of no bytes. Null ids
-    and repeated rows are ordinary rows. An empty table gives an empty result.
+    and repeated rows are ordinary rows; ties of text and id go by row number. Equal texts share a shard unless they
+    have more bytes than one. An empty table gives an empty result. Further columns, whatever their names, are not read.
     """
     if shards < 1:
         raise ValueError("shards must be positive")
@@ -145,16 +148,16 @@ def histogram_shards(docs: DataFrame, shards: int = 40, key: str = "doc_id", tex
         "keys",
     )
     total = keys.agg(F.sum("size").alias("size"), F.count("*").alias("rows"), F.min("i").alias("i0"), F.max("i").alias("i1"), F.max("r").alias("r1")).first().asDict()
-    per_shard = max(1, -(-(total["size"] or 0) // (shards * TASK_BYTES)))
-    splitters = _search(keys, total, shards * per_shard, tolerance * total["size"] / (shards * per_shard), total["size"] / shards) if total["rows"] else []
-    placed = _place(keys, splitters)
-    sizes = placed.groupBy("part").agg(F.count("*").alias("n")).collect() if per_shard > 1 else []  # a row per part
-    before, run = {}, 0
-    for p in range(shards * per_shard):
-        run = run if p % per_shard else 0
-        before[p] = run
-        run += next((r["n"] for r in sizes if r["part"] == p), 0)
-    rank = F.row_number().over(Window.partitionBy("part").orderBy("h", "i", "r")) - 1
-    start = F.element_at(F.array(*[F.lit(before[p]).cast("long") for p in range(shards * per_shard)]), F.col("part") + 1) if per_shard > 1 else F.lit(0).cast("long")
-    out = placed.withColumn("slot", rank + start)
-    return out.select("doc_id", "size", "text_crc32", F.floor(F.col("part") / per_shard).cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"))
+    shard = (total["size"] or 0) / shards
+    splitters = _search(keys, total, shards, tolerance * shard, shard) if total["rows"] else []
+    order = ["part", "h", "i", "r"]
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # the high bits of the id number the partition, the low ones the row in it
+    ranged = _place(keys, splitters).repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
+    ranged = stage(ranged.select("doc_id", "size", "text_crc32", "part", "at"), "ranged")
+    partition = F.shiftright("at", 33).alias("p")
+    runs = ranged.groupBy("part", partition).agg(F.min("at").alias("first"), F.count("*").alias("n"))  # partitions + shards rows
+    before = F.sum("n").over(Window.partitionBy("part").orderBy("p").rowsBetween(Window.unboundedPreceding, -1))
+    runs = runs.select("part", "p", (F.coalesce(before, F.lit(0)) - F.col("first")).alias("shift"))
+    out = ranged.withColumn("p", partition).join(F.broadcast(runs), ["part", "p"])
+    return out.select("doc_id", "size", "text_crc32", F.col("part").alias("shard"), (F.col("at") + F.col("shift")).cast("long").alias("slot"))
