@@ -3,7 +3,8 @@
 A shard is ``shard-NNNNN.ids`` (little-endian unsigned ids, documents in ascending key order, 2 bytes each where the
 vocabulary allows, else 4) and ``shard-NNNNN.idx``: the index. The index hashes each distinct key through levels of
 bit arrays; a key's slot is the rank of its bit. Slots hold a fingerprint of the key and the row of its first
-document, rows hold offset and length, so a keyed read costs a few bit probes and one ranged read.
+document, rows hold key, offset and length. All parts have fixed places, so a keyed read of a shard of any size costs a
+few ranged reads of the index, of 64 bytes or less, and one of the ids.
 
 Shards are written by executors through ``pyarrow.fs`` under the shared folder, to a temporary name and then
 renamed: a task that runs again writes the same bytes, and a lost executor leaves no half shard.
@@ -11,7 +12,6 @@ renamed: a task that runs again writes the same bytes, and a lost executor leave
 
 from __future__ import annotations
 
-import io
 import uuid
 import zlib
 from dataclasses import dataclass
@@ -34,28 +34,25 @@ GAMMA, LEVELS = 2, 40
 class PerfectHash:
     """Maps each of n distinct 64-bit keys to its own slot in [0, n). Foreign keys get any slot or -1."""
 
-    levels: list[np.ndarray]  # packed bits
-    sizes: list[int]
+    bits: list[np.ndarray]  # of each level
     rest: np.ndarray
 
     @staticmethod
     def build(keys: np.ndarray) -> PerfectHash:
-        left, levels, sizes = np.asarray(keys, np.int64), [], []
+        left, levels = np.asarray(keys, np.int64), []
         for level in range(LEVELS):
             if not len(left):
                 break
             m = max(64, GAMMA * len(left))
             at = (mix(left, level) % np.uint64(m)).astype(np.int64)
             alone = np.bincount(at, minlength=m) == 1
-            levels.append(np.packbits(alone, bitorder="little"))
-            sizes.append(m)
+            levels.append(alone)
             left = left[~alone[at]]
-        return PerfectHash(levels, sizes, np.sort(left))
+        return PerfectHash(levels, np.sort(left))
 
     def __post_init__(self):
-        self._bits = [np.unpackbits(b, count=m, bitorder="little").astype(bool) for b, m in zip(self.levels, self.sizes, strict=True)]
         self._rank, total = [], 0
-        for b in self._bits:
+        for b in self.bits:
             self._rank.append(total + np.cumsum(b) - b)
             total += int(b.sum())
         self._total = total
@@ -63,7 +60,7 @@ class PerfectHash:
     def slots(self, keys: np.ndarray) -> np.ndarray:
         keys = np.asarray(keys, np.int64)
         out, open_ = np.full(len(keys), -1, np.int64), np.arange(len(keys))
-        for level, (bits, rank) in enumerate(zip(self._bits, self._rank, strict=True)):
+        for level, (bits, rank) in enumerate(zip(self.bits, self._rank, strict=True)):
             at = (mix(keys[open_], level) % np.uint64(len(bits))).astype(np.int64)
             hit = bits[at]
             out[open_[hit]] = rank[at[hit]]
@@ -75,10 +72,17 @@ class PerfectHash:
         return out
 
 
-def _save(arrays: dict[str, np.ndarray]) -> bytes:
-    out = io.BytesIO()
-    np.savez(out, **arrays)
-    return out.getvalue()
+#: The index file, all little-endian: HEAD numbers of 8 bytes (levels, leftover keys, slots, rows; then bits and place of each
+#: level), the levels, the leftover keys in order, the slots, the rows. A level is blocks of 64 bytes: the set bits before the
+#: block, in all levels, then BITS bits. Rows are in file order; ``at`` counts the ids before a row.
+HEAD, BITS = 4 + 2 * LEVELS, 448
+BLOCK = np.dtype([("rank", "<i8"), ("bits", "u1", 56)])
+SLOT = np.dtype([("print", "<u4"), ("rows", "<u4"), ("row", "<i8")])
+ROW = np.dtype([("key", "<i8"), ("at", "<i8"), ("length", "<i8"), ("null", "<i8")])
+
+
+def _print(keys: np.ndarray) -> np.ndarray:
+    return (mix(np.asarray(keys, np.int64), 1000) >> np.uint64(32)).astype(np.uint32)
 
 
 def build_index(keys: np.ndarray, null: np.ndarray, lengths: np.ndarray) -> bytes:
@@ -88,39 +92,105 @@ def build_index(keys: np.ndarray, null: np.ndarray, lengths: np.ndarray) -> byte
     distinct, first, count = np.unique(keys[real], return_index=True, return_counts=True)
     mph = PerfectHash.build(distinct)
     slot = mph.slots(distinct)
-    prints, row, rows = np.zeros(len(distinct), np.uint32), np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
-    prints[slot] = (mix(distinct, 1000) >> np.uint64(32)).astype(np.uint32)
-    row[slot], rows[slot] = real[first], count
-    arrays = {f"level{i}": b for i, b in enumerate(mph.levels)}
-    return _save(arrays | {"sizes": np.array(mph.sizes, np.int64), "rest": mph.rest, "prints": prints, "row": row, "rows": rows, "keys": keys, "null": null, "lengths": lengths})
+    slots = np.zeros(len(distinct), SLOT)
+    slots["print"][slot], slots["row"][slot], slots["rows"][slot] = _print(distinct), real[first], count
+    rows = np.zeros(len(keys), ROW)
+    rows["key"], rows["length"], rows["null"], rows["at"] = keys, lengths, null, np.cumsum(lengths) - lengths
+    head, levels, at, total = np.zeros(HEAD, "<i8"), [], 8 * HEAD, 0
+    head[:4] = len(mph.bits), len(mph.rest), len(slots), len(rows)
+    for i, bits in enumerate(mph.bits):
+        padded = np.zeros(-(-len(bits) // BITS) * BITS, bool)
+        padded[: len(bits)] = bits
+        blocks, each = np.zeros(len(padded) // BITS, BLOCK), padded.reshape(-1, BITS)
+        blocks["bits"] = np.packbits(each, axis=1, bitorder="little")
+        blocks["rank"] = total + np.cumsum(each.sum(axis=1)) - each.sum(axis=1)
+        head[4 + 2 * i : 6 + 2 * i] = len(bits), at
+        levels.append(blocks.tobytes())
+        at, total = at + blocks.nbytes, total + int(bits.sum())
+    return b"".join([head.tobytes(), *levels, mph.rest.astype("<i8").tobytes(), slots.tobytes(), rows.tobytes()])
 
 
 class Shard:
-    """Reader of one shard."""
+    """Reader of one shard. Opening it reads the head of the index. A keyed read then takes one 64-byte block of a level or
+    two, on average, one slot, its rows and their ids, whatever the shard's size."""
 
     def __init__(self, fs, path: str, width: int):
-        self.fs, self.path, self.width = fs, path, width
-        with fs.open_input_stream(path + ".idx") as f:
-            z = np.load(io.BytesIO(f.read()))
-            self.__dict__.update({k: z[k] for k in ("prints", "row", "rows", "keys", "null", "lengths")})
-            self.mph = PerfectHash([z[f"level{i}"] for i in range(len(z["sizes"]))], z["sizes"].tolist(), z["rest"])
-        self.offsets = np.concatenate([[0], np.cumsum(self.lengths)])
+        self.width, self.index, self.ids = width, fs.open_input_file(path + ".idx"), fs.open_input_file(path + ".ids")
+        head = np.frombuffer(self.index.read_at(8 * HEAD, 0), "<i8")
+        n, self.n_rest, self.n_slots, self.n_rows = head[:4].tolist()
+        self.levels = head[4 : 4 + 2 * n].reshape(-1, 2).tolist()
+        self.rest_at = self.levels[-1][1] + -(-self.levels[-1][0] // BITS) * BLOCK.itemsize if n else 8 * HEAD
+        self.slots_at = self.rest_at + 8 * self.n_rest
+        self.rows_at = self.slots_at + SLOT.itemsize * self.n_slots
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *error):
+        self.index.close()
+        self.ids.close()
+
+    def _read(self, kind, at: int, n: int, first: int = 0) -> np.ndarray:
+        kind = np.dtype(kind)
+        return np.frombuffer(self.index.read_at(n * kind.itemsize, at + first * kind.itemsize), kind)
+
+    def slot(self, key: int) -> int:
+        """The slot of a key, by ranged reads; -1 or any other slot for a key that is not here."""
+        one = np.array([key], np.int64)
+        for level, (size, at) in enumerate(self.levels):
+            place = int(mix(one, level)[0]) % size
+            block = self._read(BLOCK, at, 1, place // BITS)[0]
+            bits, k = int.from_bytes(block["bits"].tobytes(), "little"), place % BITS
+            if bits >> k & 1:
+                return int(block["rank"]) + (bits & ((1 << k) - 1)).bit_count()
+        lo, hi = 0, self.n_rest
+        while lo < hi:
+            middle = (lo + hi) // 2
+            lo, hi = (middle + 1, hi) if int(self._read("<i8", self.rest_at, 1, middle)[0]) < key else (lo, middle)
+        same = lo < self.n_rest and int(self._read("<i8", self.rest_at, 1, lo)[0]) == key
+        return self.n_slots - self.n_rest + lo if same else -1
+
+    def get(self, key: int) -> list[np.ndarray]:
+        """The ids of every document with this key; none if the fingerprint, or the key itself, is another."""
+        slot = self.slot(key)
+        found = self._read(SLOT, self.slots_at, 1, slot)[0] if slot >= 0 else None
+        if found is None or found["print"] != _print(np.array([key]))[0]:
+            return []
+        rows = self.rows(int(found["row"]), int(found["rows"]))
+        return [self.payload(r) for r in rows if r["key"] == key and not r["null"]]
+
+    def rows(self, first: int, n: int) -> np.ndarray:
+        return self._read(ROW, self.rows_at, n, first)
+
+    def payload(self, row) -> np.ndarray:
+        return np.frombuffer(self.ids.read_at(int(row["length"]) * self.width, int(row["at"]) * self.width), f"<u{self.width}")
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """First row and number of rows of each key; number 0 where the fingerprint says the key is not here."""
-        slot = self.mph.slots(keys)
-        if not len(self.prints):
-            return np.zeros(len(slot), np.int64), np.zeros(len(slot), np.int64)
-        ok = (slot >= 0) & (self.prints[slot] == (mix(np.asarray(keys, np.int64), 1000) >> np.uint64(32)).astype(np.uint32))
-        return np.where(ok, self.row[slot], 0), np.where(ok, self.rows[slot], 0)
-
-    def payload(self, row: int, f=None) -> np.ndarray:
-        """Ids of one row, by one ranged read."""
-        at, n = int(self.offsets[row]) * self.width, int(self.lengths[row]) * self.width
-        if f is not None:
-            return np.frombuffer(f.read_at(n, at), f"<u{self.width}")
-        with self.fs.open_input_file(self.path + ".ids") as own:
-            return np.frombuffer(own.read_at(n, at), f"<u{self.width}")
+        """First row and number of rows of many keys at once; number 0 where the fingerprint says that the key is not
+        here. Holds the levels and the slots of the shard: about 17 bytes a key."""
+        keys, slot = np.asarray(keys, np.int64), np.full(len(keys), -1, np.int64)
+        left = np.arange(len(keys))
+        for level, (size, at) in enumerate(self.levels):
+            blocks = self._read(BLOCK, at, -(-size // BITS))
+            for lo in range(0, len(left), 8192):
+                some = left[lo : lo + 8192]
+                place = (mix(keys[some], level) % np.uint64(size)).astype(np.int64)
+                bits = np.unpackbits(blocks["bits"][place // BITS], axis=1, bitorder="little")
+                k = place % BITS
+                hit = np.flatnonzero(bits[np.arange(len(some)), k])
+                before = (bits[hit] * (np.arange(BITS) < k[hit, None])).sum(axis=1, dtype=np.int64)
+                slot[some[hit]] = blocks["rank"][place[hit] // BITS] + before
+            left = left[slot[left] < 0]
+        if self.n_rest and len(left):
+            rest = self._read("<i8", self.rest_at, self.n_rest)
+            at = np.minimum(np.searchsorted(rest, keys[left]), len(rest) - 1)
+            hit = rest[at] == keys[left]
+            slot[left[hit]] = self.n_slots - self.n_rest + at[hit]
+        if not self.n_slots:
+            return np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        slots = self._read(SLOT, self.slots_at, self.n_slots)[slot]
+        ok = (slot >= 0) & (slots["print"] == _print(keys))
+        return np.where(ok, slots["row"], 0), np.where(ok, slots["rows"], 0).astype(np.int64)
 
 
 def _filesystem(uri: str):
@@ -201,20 +271,21 @@ def read_store(spark: SparkSession, uri: str, manifest: list, tokenizer: str) ->
         fs, root = _filesystem(uri)
         for b in batches:
             for shard, first in zip(b.column("shard").to_pylist(), b.column("start").to_pylist(), strict=True):
-                s = Shard(fs, f"{root}/shard-{shard:05d}", width)
-                row, n = s.find(s.keys)
-                ordinal = _ordinals(s.keys, s.null)
-                found = np.where(s.null, np.arange(len(s.keys)), row + ordinal)
-                led = s.null | ((ordinal < n) & (found < len(s.keys)))
-                if not led.all() or (s.keys[found] != s.keys).any() or (s.null[found] != s.null).any():
-                    raise ValueError(f"shard {shard}: the index does not lead to every document")
-                with s.fs.open_input_file(s.path + ".ids") as f:
-                    for lo in range(0, len(s.keys), 20_000):
-                        at = found[lo : lo + 20_000]
-                        crc = [zlib.crc32(s.payload(i, f).astype("<u4").tobytes()) for i in at]
+                with Shard(fs, f"{root}/shard-{shard:05d}", width) as s:
+                    rows = s.rows(0, s.n_rows)
+                    keys, null = rows["key"].astype(np.int64), rows["null"] != 0
+                    row, n = s.find(keys)
+                    ordinal = _ordinals(keys, null)
+                    found = np.where(null, np.arange(len(keys)), row + ordinal)
+                    led = null | ((ordinal < n) & (found < len(keys)))
+                    if not led.all() or (keys[found] != keys).any() or (null[found] != null).any():
+                        raise ValueError(f"shard {shard}: the index does not lead to every document")
+                    for lo in range(0, len(keys), 20_000):
+                        some = rows[found[lo : lo + 20_000]]
+                        crc = [zlib.crc32(s.payload(r).astype("<u4").tobytes()) for r in some]
                         yield pa.RecordBatch.from_pydict({
-                            "doc_id": pa.array(s.keys[lo : lo + 20_000], mask=s.null[lo : lo + 20_000]), "start": pa.array(first + s.offsets[at]),
-                            "n_tokens": pa.array(s.lengths[at]), "ids_crc32": pa.array(crc, pa.int64()),
+                            "doc_id": pa.array(keys[lo : lo + 20_000], mask=null[lo : lo + 20_000]), "start": pa.array(first + some["at"].astype(np.int64)),
+                            "n_tokens": pa.array(some["length"].astype(np.int64)), "ids_crc32": pa.array(crc, pa.int64()),
                         })
 
     return plan.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
@@ -228,13 +299,16 @@ def lookup(uri: str, manifest: list, keys: list[int], tokenizer: str) -> dict[in
     for m in manifest:
         mine = [k for k in out if m["lo"] is not None and m["lo"] <= k <= m["hi"]]
         if mine:
-            s = Shard(fs, f"{root}/shard-{m['shard']:05d}", width)
-            for k, r, n in zip(mine, *s.find(np.array(mine, np.int64)), strict=True):
-                out[k] += [s.payload(i) for i in range(r, r + n) if s.keys[i] == k and not s.null[i]]
+            with Shard(fs, f"{root}/shard-{m['shard']:05d}", width) as s:
+                for k in mine:
+                    out[k] += s.get(k)
     return out
 
 
 def encode_and_store(docs: DataFrame, tokenizer: str, end_id: int | None = 2) -> DataFrame:
-    """Write a store in the shared folder and return what its files say."""
+    """Write a store in the shared folder and return what its files say, ``read_store``'s columns, a row per document.
+    Null text is empty (the end id alone), texts of any length are encoded whole; rows that repeat an id are documents of
+    their own, ties go by a hash of the text; null ids come first. An empty table gives an empty result. Further
+    columns, whatever their names, are not read."""
     uri = new_path(docs.sparkSession, "tokens")
     return read_store(docs.sparkSession, uri, write_store(docs, tokenizer, end_id, uri), tokenizer)
