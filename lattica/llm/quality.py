@@ -2,10 +2,11 @@
 
 Each rule rejects a document whose feature reaches a cutoff. Cutoffs come from fixed grids, so labelled documents are
 holdouts for all of them. Per stratum and rule the cutoffs are tested from the most lenient on: with k of n good
-documents rejected, a cutoff is certified if P(Bin(n, ALPHA) <= k) <= DELTA / (strata * rules), the exact binomial
-test that its false-rejection rate exceeds ALPHA; the first failure ends the sequence. Testing in a fixed order
-needs no correction over the grid, the division is Bonferroni's over strata and rules, so with probability 1 - DELTA
-every certified cutoff of every stratum falsely rejects at most ALPHA. Among the certified ones the rule takes that
+documents rejected, a cutoff is certified if P(Bin(n, ALPHA / rules) <= k) <= DELTA / (strata * rules), the exact
+binomial test that its false-rejection rate exceeds its share of ALPHA; the first failure ends the sequence. Testing in
+a fixed order needs no correction over the grid, the division of DELTA is Bonferroni's over strata and rules, and the
+shares of ALPHA add up, so with probability 1 - DELTA the rules of every stratum together falsely reject at most ALPHA of
+its good documents. Among the certified ones the rule takes that
 with the largest gain (bad documents rejected, less PRICE for each good one); no gain, no rule.
 """
 
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..shared import stage
 
-#: False-rejection rate per rule and stratum; probability that any bound fails; price of a good document.
+#: False-rejection rate of all rules together, per stratum; probability that any bound fails; price of a good document.
 ALPHA, DELTA, PRICE = 0.01, 0.05, 10
 #: Base rules: fewest words; most words in repeated windows, in percent; words of a window.
 MIN_WORDS, MAX_REPEAT, WINDOW = 20, 30, 8
@@ -119,7 +120,7 @@ def certify(feats: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: fl
     every = every.withColumns({"k": reach("good"), "b": reach("bad")})
     strata = every.agg(F.countDistinct("stratum").alias("strata"))
     every = every.join(F.broadcast(strata))  # a single number
-    ok = binomial_tail(F.col("n"), F.col("k"), alpha) <= F.lit(delta) / (F.col("strata") * len(RULES))
+    ok = binomial_tail(F.col("n"), F.col("k"), alpha / len(RULES)) <= F.lit(delta) / (F.col("strata") * len(RULES))
     lenient = Window.partitionBy("stratum", "rule").orderBy(F.col("pos").desc())
     tested = every.withColumn("ok", F.min(ok.cast("int")).over(lenient)).withColumn("gain", F.col("b") - F.lit(price) * F.col("k"))
     best = tested.where("ok = 1 and gain > 0").groupBy("stratum", "rule").agg(F.max(F.struct("gain", "pos", "cutoff")).alias("x"))
@@ -144,7 +145,9 @@ def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     """``(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, failed_rules)``.
 
     Every row is judged by itself, repeated ids too. Without labels no rule is certified and only the base rules
-    reject. Documents with a null language are a stratum of their own.
+    reject. Documents with a null language are a stratum of their own. Null and empty texts have no words and fail the
+    base rules; texts of any length are judged whole. An empty table gives an empty result. Further columns, whatever
+    their names, are not read (``keep`` returns them as they are).
     """
     feats = stage(features(docs, key, text, stratum), "features")
     out = _verdicts(feats, stage(certify(feats, labels), "cuts"))
@@ -160,6 +163,7 @@ def keep(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "t
 
 def oracle() -> str:
     """DuckDB SQL of ``judge`` over ``documents`` and ``labels`` (ids unique), without ``failed_rules``."""
+    rate = repr(ALPHA / len(RULES))
     ws = r"[ \t\n\x0b\f\r]+"
     grids = " UNION ALL ".join(f"SELECT '{r}' AS rule, {i} AS pos, {float(c)!r}::DOUBLE AS cutoff" for r, g in RULES.items() for i, c in enumerate(g))
     values = " UNION ALL ".join(f"SELECT doc_id, stratum, '{r}' AS rule, {r} AS v FROM f" for r in RULES)
@@ -181,7 +185,7 @@ g AS ({grids}), v AS MATERIALIZED ({values}),
 m AS (SELECT doc_id, min(quality) AS quality FROM labels WHERE quality IS NOT NULL GROUP BY 1),
 h AS (SELECT v.stratum, g.rule, g.pos, g.cutoff, count(*) FILTER (WHERE quality = 1) AS n, count(*) FILTER (WHERE quality = 1 AND v >= cutoff) AS k, count(*) FILTER (WHERE quality = 0 AND v >= cutoff) AS b
   FROM v JOIN m USING (doc_id) JOIN g USING (rule) GROUP BY ALL),
-t AS (SELECT *, CASE WHEN k >= n * {ALPHA} THEN 1.0 ELSE (SELECT sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({ALPHA}) + (n - j) * ln(1 - {ALPHA}))) FROM range(0, k + 1) z(j)) END AS tail FROM h),
+t AS (SELECT *, CASE WHEN k >= n * {rate} THEN 1.0 ELSE (SELECT sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({rate}) + (n - j) * ln(1 - {rate}))) FROM range(0, k + 1) z(j)) END AS tail FROM h),
 o AS (SELECT *, min(CASE WHEN tail <= {DELTA} / ((SELECT count(DISTINCT stratum) FROM h) * {len(RULES)}) THEN 1 ELSE 0 END) OVER (PARTITION BY stratum, rule ORDER BY pos DESC) AS ok, b - {PRICE} * k AS gain FROM t),
 best AS (SELECT stratum, rule, arg_max(cutoff, (gain, pos)) AS cutoff FROM o WHERE ok = 1 AND gain > 0 GROUP BY ALL),
 bad AS (SELECT DISTINCT doc_id FROM v JOIN best USING (stratum, rule) WHERE v >= cutoff)
