@@ -3,10 +3,14 @@
 Every DOM node gets its link-adjusted characters per tag; a node's density sum is that of its children. The node of
 the largest sum is where the article's blocks hang. The threshold is the least density on the path from it up to the
 body, itself included; siblings that reach it belong to the same article, so the subtree grows to the lowest ancestor
-that holds them. Above that, and below the body, only what is not mostly links is added: siblings that reach the
-threshold, headings and their wrappers, paragraphs, and text that stands there by itself.
-Boilerplate by element or role is taken out before anything is counted; so is boilerplate by class or id, unless the
-page's article hangs below it.
+that holds them, and to an article or main element around it. Above that only what is not mostly links is added: siblings
+that reach the threshold and, where no such element stands around, headings and their wrappers, paragraphs, and text that
+stands there by itself. A page without any node of positive density, such as one of links alone, has no main text.
+
+Only structure is taken out before anything is counted: scripts and the like, hidden elements, and navigation, footers,
+asides and forms by element or role. Words of a class or id never take out the densest subtree or what it hangs in. An
+element that they hint at is left out beside it; within it the element stays if it holds blocks of its own that are half as
+dense as the subtree, unless it holds readers' replies.
 """
 
 from __future__ import annotations
@@ -14,8 +18,6 @@ from __future__ import annotations
 import html
 import math
 import re
-from bisect import bisect_left, bisect_right
-from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,9 +36,10 @@ BLOCKS = frozenset(
 CLOSES_P = BLOCKS - {"td", "th", "tr", "tbody", "thead", "tfoot", "caption", "option", "optgroup", "body", "html", "head", "legend"}
 SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table", "tbody", "thead", "tfoot"), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
+HOMES = frozenset("article main section".split())
 TITLES = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 # What marks boilerplate.
-JUNK_TAGS = frozenset("head nav header footer aside form menu dialog search".split())
+JUNK_TAGS = frozenset("head nav footer aside form menu dialog search".split())
 JUNK_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 JUNK_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar sidenav nav navbar navigation "
@@ -45,6 +48,7 @@ JUNK_WORDS = frozenset(
 )
 #: Words for readers' replies, which are not the article however long they are.
 REPLY_WORDS = frozenset("comment comments disqus reply replies respond".split())
+NONE: frozenset[str] = frozenset()
 _TAG = re.compile(r"""<!--.*?(?:--!?>|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""", re.S)
 _ATTR = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -137,6 +141,7 @@ class _Dom:
                     stack.append(node)
                 continue
             junk, words = _is_junk(tag, attributes)
+            junk |= tag == "header" and not any(self.tag[k] in HOMES for k in stack)  # of the page, not of an article
             self._add(stack[-1], tag, tag in RAW or junk)
             if words and not self.junk[node]:
                 self.words[node] = words
@@ -145,36 +150,6 @@ class _Dom:
                 at = end.end() if end else len(source)
             elif tag not in VOID:
                 stack.append(node)
-        if self.words:
-            self._judge_words()
-
-    def _judge_words(self) -> None:
-        """Drop the subtrees that class words hint at, but for those that hold the article: a ``main``, an ``article``
-        with no less text than any outside, or, if no such element stands beside it, most of the page's text."""
-        n, parent, tag = len(self.tag), self.parent, self.tag
-        size, last, inside, around, has_main = [0] * n, list(range(n)), [0] * n, [0] * n, [False] * n
-        for i, s in self.items:
-            if s is not None and not self.junk[i]:
-                size[i] += sum(map(len, s.split()))
-        for i in range(n - 1, 0, -1):
-            p, home = parent[i], size[i] if tag[i] in ("article", "main") else 0
-            size[p] += size[i]
-            last[p] = max(last[p], last[i])
-            inside[p] = max(inside[p], inside[i], home)
-            has_main[p] |= has_main[i] or (tag[i] == "main" and home > 0)
-        for i in range(1, n):
-            p = parent[i]
-            around[i] = max(around[p], size[p] if tag[p] in ("article", "main") else 0)
-        homes = [i for i in range(n) if tag[i] in ("article", "main") and size[i]]
-        after = list(accumulate((size[h] for h in reversed(homes)), max, initial=0))[::-1]
-        ends = sorted(homes, key=lambda h: last[h])
-        before, ends = list(accumulate((size[h] for h in ends), max, initial=0)), [last[h] for h in ends]
-        for i, words in self.words.items():
-            apart = max(after[bisect_right(homes, last[i])], before[bisect_left(ends, i)])
-            own = has_main[i] or (inside[i] and inside[i] >= max(apart, around[i] - size[i]))
-            self.junk[i] = not own and (apart > 0 or 2 * size[i] <= size[0] or bool(words & REPLY_WORDS))
-        for i in range(1, n):
-            self.junk[i] |= self.junk[parent[i]]
 
     def _add(self, parent: int, tag: str, junk: bool) -> None:
         self.parent.append(parent)
@@ -182,12 +157,18 @@ class _Dom:
         self.junk.append(junk or self.junk[parent])
 
 
+def below(parent: list[int], node: int, top: int) -> bool:
+    while node > top:  # children come after their parents
+        node = parent[node]
+    return node == top
+
+
 def main_text(source: str | None) -> str:
     """The article's text: character references decoded, white space collapsed, blocks joined by one space."""
     if not source:
         return ""
     dom = _Dom(source)
-    n, parent, tag, junk = len(dom.tag), dom.parent, dom.tag, dom.junk
+    n, parent, tag, junk, words = len(dom.tag), dom.parent, dom.tag, dom.junk, dom.words
     chars, link_chars, tags, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
     linked = [False] * n
     for i in range(1, n):
@@ -214,34 +195,42 @@ def main_text(source: str | None) -> str:
             c, lc, t, lt = chars[i], link_chars[i] or 1, tags[i] or 1, link_tags[i] or 1
             base = math.log(c / ((c - link_chars[i]) or 1) * link_chars[i] + share * c + math.e)
             density[i] = max(0.0, c / t * math.log(c / lc * t / lt) / base) if link_chars[i] < c else 0.0
-            if i:
+            if i and i not in words:
                 total[parent[i]] += density[i]
+    reply = [False] * n
+    for i in range(1, n):
+        reply[i] = reply[parent[i]] or bool(words.get(i, NONE) & REPLY_WORDS)
     body = next((i for i in range(n) if tag[i] == "body"), 0)
-    candidates = [i for i in range(n) if not junk[i] and chars[i]]
-    best = max(candidates, key=lambda i: (total[i], chars[i], -i))
+    candidates = [i for i in range(n) if density[i] > 0]
+    if not candidates:
+        return ""
+    best = max([i for i in candidates if not reply[i]] or candidates, key=lambda i: (total[i], chars[i], -i))
     path = [best]
     while path[-1] not in (0, body) and tag[path[-1]] != "html":
         path.append(parent[path[-1]])
     threshold = min(density[i] for i in path)
+    for i in range(1, n):  # what class words hint at, now that densities are known
+        hint = i in words and i not in path and (reply[i] or not total[i] or 2 * density[i] < density[best] or not below(parent, i, best))
+        junk[i] |= hint or junk[parent[i]]
     children: dict[int, list[int]] = {}
     for i in range(1, n):
         if not junk[i] and chars[i]:
             children.setdefault(parent[i], []).append(i)
     outer = [x for x in path if tag[x] == "article"] or [x for x in path if tag[x] == "main"]
     at = path.index(outer[-1]) if outer else 0
-    for k in range(1, len(path) - 1 if not outer else 0):
+    for k in range(at + 1, len(path) - 1):
         if any(x != path[k - 1] and density[x] >= threshold for x in children[path[k]]):
             at = k
-    above, chosen = set() if outer else {*path[at + 1 :]}, {path[at]}
+    above, chosen = {*path[at + 1 :]}, {path[at]}
     title = [t == "h1" and not j for t, j in zip(tag, junk, strict=True)]
     for i in range(n - 1, 0, -1):
         title[parent[i]] |= title[i]
     for upper in above:
         blocks = [x for x in children[upper] if tag[x] in BLOCKS]
         rest, links = (a[upper] - sum(a[x] for x in blocks) for a in (chars, link_chars))
-        if 2 * links < rest:
+        if 2 * links < rest and not outer:
             chosen |= {upper, *children[upper]} - {*blocks} - (above - {upper})
-        chosen |= {x for x in blocks if x not in above and (tag[x] in TITLES or (2 * link_chars[x] < chars[x] and (tag[x] == "p" or title[x] or density[x] >= threshold)))}
+        chosen |= {x for x in blocks if x not in above and (tag[x] in TITLES or (2 * link_chars[x] < chars[x] and (tag[x] == "p" or title[x] or density[x] >= threshold))) and (not outer or density[x] >= threshold)}
     keep = [False] * n
     for i in range(n):
         keep[i] = i in chosen or (i > 0 and parent[i] not in above and keep[parent[i]] and not junk[i])

@@ -2,8 +2,8 @@
 
 import collections
 import hashlib
-import io
 import itertools
+import math
 import random
 import re
 import zlib
@@ -13,6 +13,7 @@ import public_tokenizers as P
 import pyarrow as pa
 import pytest
 from oracle import duck, rows
+from pyspark.sql import functions as F
 
 from lattica.llm import context_tree, html_text, packing, prefix_bpe, quality, sharding, shingle_join, token_store, toxicity, vector_forest
 from lattica.llm.arrow import components
@@ -74,11 +75,29 @@ def test_quality_base(docs, labels, none):
     assert quality.judge(none, labels).count() == 0 and quality.keep(none, labels).columns == none.columns
 
 
+def test_certified_rules_match_sql(spark, tmp_path):
+    """Enough labels for certified cutoffs: rules beyond the base rules reject, and the SQL agrees."""
+    r = random.Random(4)
+    word = lambda: "".join(r.choices("abcdefgh", k=6))
+    data, marks = [], []
+    for i in range(6000):
+        good = i % 10 > 0
+        w = [word() for _ in range(22)] if good else [word() + r.choice(["", "##$", "!!"]) for _ in range(22)]
+        if i == 1:
+            w[3] += "#" * 40  # a good document that the rule rejects
+        data.append((i, " ".join(w).capitalize(), "fr" if i % 7 == 0 else "en", "s"))
+        marks.append((i, int(good), 0))
+    spark.createDataFrame(data, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(marks, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = QUERIES["op1_quality_rules"](spark, str(tmp_path)).toPandas()
+    assert rows(got) == rows(duck(str(tmp_path), ORACLES["op1_quality_rules"]))
+    by_rule = got[~got.base_failed & ~got.kept]
+    assert len(by_rule) > 400 and ((by_rule.doc_id % 10) > 0).sum() <= 0.01 * 5400
+
+
 def test_binomial_bound(spark):
     from math import comb
 
-    from pyspark.sql import functions as F
-
     df = spark.createDataFrame([(100, 0), (500, 1), (900, 4), (100, 50)], "n long, k long")
     got = [r[0] for r in df.select(quality.binomial_tail(F.col("n"), F.col("k"), 0.01)).collect()]
     want = [sum(comb(n, j) * 0.01**j * 0.99 ** (n - j) for j in range(k + 1)) for n, k in [(100, 0), (500, 1), (900, 4)]]
@@ -92,8 +111,6 @@ def test_quality_sql(spark, sf_dir):
 
 def brute_tree(train, query, depth):
     """Context-tree weighting by recursion over one bit string per decision node."""
-    import math
-
     nodes = collections.defaultdict(lambda: [0, 0])
     children = collections.defaultdict(set)
     for t in train:
@@ -312,6 +329,28 @@ def test_equal_texts_that_fit_are_not_cut(spark):
     assert len(where[zlib.crc32(data[-1][1].encode())]) > 1
 
 
+def test_shards_against_brute_force(spark):
+    """More partitions than shards and a text longer than a shard's share: slots follow key order, sums are near equal."""
+    r = random.Random(9)
+    data = [(i, "x" * r.randint(0, 400)) for i in range(900)] + [(2000 + i, "same " * 30) for i in range(40)] + [(5, None), (None, "")]
+    df = spark.createDataFrame(data, "doc_id long, text string").withColumn("part", F.lit(1)).repartition(7)
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    try:
+        got = sharding.histogram_shards(df, 6).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert sorted((x.doc_id or -1, x.size) for x in got) == sorted((i or -1, len(t or "") + 16) for i, t in data)
+    by = collections.defaultdict(list)
+    for x in got:
+        by[x.shard].append(x)
+    size = {k: sum(x.size for x in v) for k, v in by.items()}
+    assert all(sorted(x.slot for x in v) == list(range(len(v))) for v in by.values())
+    assert max(size.values()) - min(size.values()) <= 40 * 166 + 500  # the largest group of equal texts is not cut
+    for v in by.values():  # equal texts of a shard stand together
+        crcs = [x.text_crc32 for x in sorted(v, key=lambda x: x.slot)]
+        assert len(list(itertools.groupby(crcs))) == len(set(crcs))
+
+
 def test_sharding_is_even(spark, sf_dir):
     got = sharding.histogram_shards(spark.read.parquet(f"{sf_dir}/documents.parquet"), 4).groupBy("shard").sum("size").collect()
     size = [r[1] for r in got]
@@ -343,6 +382,87 @@ def test_class_words_spare_the_article(page, want):
     assert html_text.main_text(page) == want
 
 
+@pytest.mark.parametrize("page, want", [
+    ("<body><div class='social-science'><p>The whole of the article stands here.</p><p>And here is some more of it.</p></div><p>x</p></body>", "The whole of the article stands here. And here is some more of it. x"),
+    ("<body><div id='ad-story'><p>The whole of the article stands here.</p></div></body>", "The whole of the article stands here."),
+    ("<article><header><h1>Title</h1></header><p>Body text of it.</p></article>", "Title Body text of it."),
+    ("<body><header><h1>Site</h1></header><article><p>Body text of it.</p></article></body>", "Body text of it."),
+    ("<body><ul><li><a href=x>one</a></li><li><a href=y>two</a></li></ul></body>", ""),
+])
+def test_density_decides_over_class_words(page, want):
+    assert html_text.main_text(page) == want
+
+
+def test_pages_need_their_densities(sf_dir, monkeypatch):
+    """With every density at zero, nothing would be extracted."""
+    import pyarrow.parquet as pq
+
+    pages = pq.read_table(f"{sf_dir}/pages.parquet").column("html").to_pylist()
+    assert all(html_text.main_text(x) for x in pages)
+    monkeypatch.setattr(html_text.math, "log", lambda x: 0.0 if x != math.e else 1.0)
+    assert not any(html_text.main_text(x) for x in pages)
+
+
+def brute_density(page):
+    """Densities by whole walks below every node of a DOM that the standard library's parser builds; best subtree's text."""
+    from html.parser import HTMLParser
+
+    class Node:
+        def __init__(self, tag, up):
+            self.tag, self.up, self.items = tag, up, []
+
+    class Builder(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.root = self.at = Node("#", None)
+
+        def handle_starttag(self, tag, attrs):
+            new = Node(tag, self.at)
+            self.at.items.append(new)
+            self.at = new
+
+        def handle_endtag(self, tag):
+            self.at = self.at.up
+
+        def handle_data(self, data):
+            self.at.items.append(data)
+
+    def walk(x):
+        yield x
+        for y in x.items:
+            if not isinstance(y, str):
+                yield from walk(y)
+
+    def text(x, linked=False):
+        own = linked or x.tag == "a"
+        return [(y, own) for y in x.items if isinstance(y, str)] + [z for y in x.items if not isinstance(y, str) for z in text(y, own)]
+
+    b = Builder()
+    b.feed(page)
+    size = lambda x, only=False: sum(len("".join(s.split())) for s, a in text(x) if a or not only)
+    share = size(b.root, True) / size(b.root)
+
+    def density(x):
+        c, lc, t, lt = size(x), size(x, True), sum(1 for _ in walk(x)) - 1, sum(y.tag == "a" for y in walk(x) if y is not x)
+        if not c or lc >= c:
+            return 0.0
+        return max(0.0, c / (t or 1) * math.log(c / (lc or 1) * (t or 1) / (lt or 1)) / math.log(c / (c - lc) * lc + share * c + math.e))
+
+    best = max(walk(b.root), key=lambda x: (sum(density(y) for y in x.items if not isinstance(y, str)), size(x)))
+    order = lambda x: " ".join(y if isinstance(y, str) else order(y) for y in x.items)
+    return " ".join(order(best).split())
+
+
+def test_best_subtree_against_brute_force():
+    r = random.Random(12)
+    line = lambda n: " ".join("".join(r.choices("abcdefgh", k=r.randint(2, 8))) for _ in range(n))
+    for _ in range(60):
+        story = "".join(f"<p>{line(r.randint(25, 60))}</p>" for _ in range(r.randint(2, 6)))
+        menu = "<ul>" + "".join(f"<li><a>{line(1)}</a></li>" for _ in range(r.randint(4, 12))) + "</ul>"
+        page = f"<body><div>{menu}</div><div><div>{story}</div>{menu}</div><div>{menu}</div></body>"
+        assert html_text.main_text(page) == brute_density(page)
+
+
 def test_article_grows_to_the_body():
     r = random.Random(6)
     para = [" ".join("".join(r.choices("abcdefgh", k=5)) for _ in range(60 - k)) for k in range(6)]
@@ -400,6 +520,26 @@ def test_token_store(spark, docs, none):
     assert token_store.encode_and_store(none, path).count() == 0
 
 
+def test_keyed_reads_take_a_few_bytes_of_the_index(tmp_path):
+    from pyarrow import fs
+
+    keys = np.sort(np.random.default_rng(1).choice(1 << 40, 30_000, replace=False))
+    keys[7] = keys[6]
+    ids = np.arange(60_000, dtype="<u2")
+    (tmp_path / "s.idx").write_bytes(token_store.build_index(keys, np.zeros(len(keys), bool), np.full(len(keys), 2)))
+    (tmp_path / "s.ids").write_bytes(ids.tobytes())
+    with token_store.Shard(fs.LocalFileSystem(), f"{tmp_path}/s", 2) as s:
+        taken, read = [], s._read
+        s._read = lambda kind, at, n, first=0: taken.append(n * np.dtype(kind).itemsize) or read(kind, at, n, first)
+        for i in range(100, 30_000, 997):
+            assert [x.tolist() for x in s.get(int(keys[i]))] == [[2 * i, 2 * i + 1]]
+        assert len(s.get(int(keys[6]))) == 2 and max(taken) <= 64 and sum(taken) / 31 < 300
+        assert all(s.get(k) == [] for k in range(500) if k not in keys)
+        s._read = read
+        row, n = s.find(keys)
+        assert (row[8:] == np.arange(8, 30_000)).all() and (n[8:] == 1).all() and row[7] == 6 and n[7] == 2
+
+
 def test_store_rows_come_through_the_index(spark, docs):
     from lattica.shared import new_path
 
@@ -407,10 +547,12 @@ def test_store_rows_come_through_the_index(spark, docs):
     manifest = token_store.write_store(docs, path, 2, uri, shards=2)
     fs, root = token_store._filesystem(uri)
     file = f"{root}/shard-00001.idx"
-    with fs.open_input_file(file) as f:
-        index = dict(np.load(io.BytesIO(f.read())))
-    index["row"][:], index["rows"][:] = 0, len(index["keys"])  # every row lies in the range, no row is the right one
-    token_store._put(fs, file, [token_store._save(index)])
+    with token_store.Shard(fs, file[:-4], 2) as s:
+        raw, lo, hi, n = bytearray(s.index.read_at(s.index.size(), 0)), s.slots_at, s.rows_at, s.n_rows
+    slots = np.frombuffer(bytes(raw[lo:hi]), token_store.SLOT).copy()
+    slots["row"], slots["rows"] = 0, n  # every row lies in the range, no row is the right one
+    raw[lo:hi] = slots.tobytes()
+    token_store._put(fs, file, [bytes(raw)])
     with pytest.raises(Exception, match="the index does not lead to every document"):
         token_store.read_store(spark, uri, manifest, path).collect()
 
