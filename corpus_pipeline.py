@@ -2,6 +2,11 @@
 
 Every stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; all but the last keep the columns of ``documents``.
 ``run`` writes each stage's rows as Parquet in the shared folder and rereads them for the next.
+
+Nulls, empty and long texts, ties and repeated rows: a null or empty text fails the base rules of the first stage, so
+the later ones meet it only when called by themselves; then it is not toxic, is kept as a document of its own, and packs
+to its end id. Of rows that repeat an id and a text one stays after near_copies. Null ids are documents like others. An
+empty table passes through as one. Stages but the last carry every column as it is, whatever its name.
 """
 
 from __future__ import annotations

@@ -329,7 +329,8 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte)`` for every row.
 
     Learns from rows whose crc32 of the id as text is not 2 modulo 7; a null id is not held out. Null text is empty: it
-    has the end token and the end byte only. With nothing to learn from, every bit has probability one half.
+    has the end token and the end byte only. A long text is a block of its own, worked on in chunks of whole texts.
+    Repeated rows and ids are learned from and scored row by row. Further columns, whatever their names, are not read. With nothing to learn from, every bit has probability one half.
     """
     spark = docs.sparkSession
     blocks = stage(make_blocks(docs, key, text), "blocks")

@@ -141,7 +141,9 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per piece: ``PIECES`` plus ``sequence_id`` and ``offset``; offsets in a sequence are gapless from 0.
-    Null text is empty (the end id alone); repeated and null keys are packed like any other row."""
+    Null text is empty (the end id alone); repeated and null keys are packed like any other row. Texts of any length are
+    encoded whole; pieces of equal length are interchangeable, and ties go by row number. An empty table gives an empty
+    result. Further columns, whatever their names, are not read."""
     if capacity < 1:
         raise ValueError("capacity must be positive")
     return pack(token_pieces(docs, tokenizer, capacity, end_id, key, text), capacity)

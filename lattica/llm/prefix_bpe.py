@@ -154,7 +154,9 @@ class Codec:
 
 def encode_decode(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id, n_tokens, ids_sha256, decoded_sha256)``: digests of the decimal ids joined by one space, and of the
-    decoded text, which for a file without a decoder is its tokens joined by one space. Null text is empty: no ids."""
+    decoded text, which for a file without a decoder is its tokens joined by one space. Null text is empty: no ids.
+    Texts of any length are encoded whole; repeated rows and ids are documents of their own. An empty table gives an empty
+    result. Further columns, whatever their names, are not read."""
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"))
 
     def run(batches):

@@ -4,8 +4,10 @@
 2. Documents with equal sets are one class. Only class representatives go on.
 3. Representatives that share a band hash are candidates. A bucket is compared on the sketch bytes in one task; a large
    one is dealt in chunks, where documents close to a chunk's leader are tied to it and only leaders meet again, level
-   by level, so no bucket is ever expanded into pairs. The radii add up by the triangle inequality of the Jaccard
-   distance, so pairs at the threshold stay in one candidate family. Families are connected components.
+   by level, so no bucket is ever expanded into pairs. Within a chunk the radii add up by the triangle inequality of the
+   Jaccard distance, so pairs at the threshold stay in one candidate family. Across chunks they add up beyond it, so there
+   it is a rule of thumb, helped by the other bands that a linked pair shares: with groups of thousands every link
+   was found (see the README). Families are connected components.
 4. Every pair of a family is verified on the full n-gram sets; large families are dealt in blocks against blocks.
    Links are counted where they are found, never written out, and verified stars give the final components.
 """
@@ -228,8 +230,10 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, words: int = WOR
 
     ``class_id`` is the smallest id with the same n-gram set, ``n_links`` the number of other documents with Jaccard
     similarity of at least ``threshold``, ``component_id`` the smallest id reachable by links; of each component the
-    document with that id stays (of repeated ids the first row; null ids come last). Documents without words link
-    with nothing and stay.
+    document with that id stays (of repeated ids the first row; null ids come last). Documents without words, null texts
+    among them, link with nothing and stay. Texts of any length are hashed whole, in windows. A tie with the threshold
+    links. An empty table gives an empty result. Further columns, whatever their names, are not read (``keep`` returns
+    them as they are).
     """
     n_bands = bands(threshold, recall)
     spark = docs.sparkSession

@@ -255,7 +255,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, key: str =
 
     Vectors link if their labels are equal and not null and their cosine is at least ``threshold``; vectors that are
     null, zero, or hold null or non-finite components link with nothing, nor do vectors of different lengths.
-    Repeated ids are separate vectors of that id; a component's id is its smallest vec_id.
+    Repeated ids are separate vectors of that id; a component's id is its smallest vec_id. Multiples of one vector link
+    like equal ones; links are decided in double precision, so a tie with the threshold links. An empty table gives an
+    empty result. Further columns, whatever their names, are not read.
     """
     double = "double" in vectors.schema[vector].dataType.simpleString()
     kind = "<f8" if double else "<f4"

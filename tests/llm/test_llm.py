@@ -196,6 +196,38 @@ def test_forest(spark):
     assert vector_forest.near_duplicates(df.limit(0)).count() == 0
 
 
+def brute_links(x, label, threshold=0.93):
+    u = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+    near = (u @ u.T >= threshold) & (label[:, None] == label[None, :])
+    np.fill_diagonal(near, False)
+    return near.sum(axis=1), components(len(x), *np.nonzero(near))
+
+
+@pytest.mark.parametrize("kind", ["scaled", "one component", "clusters"])
+def test_forest_against_brute_force(spark, kind):
+    """More vectors than a task's node: multiples of one vector, vectors of one component, and many small clusters, which
+    take several splits. Columns of the operator's own names are in the way."""
+    r = np.random.default_rng(5)
+    if kind == "scaled":
+        x = np.concatenate([np.outer(np.arange(1, 2401), r.normal(size=16)), r.normal(size=(200, 16))])
+    elif kind == "one component":
+        x = np.where(np.arange(2600) % 3 > 0, 1.0, -1.0)[:, None] * np.arange(1, 2601)[:, None]
+    else:
+        x = np.repeat(r.normal(size=(900, 32)), 5, axis=0)
+        x += 0.22 * r.normal(size=x.shape)
+    x = x[r.permutation(len(x))]
+    n, least = brute_links(x, np.zeros(len(x)))
+    rows = [(i, v.tolist(), 1, 2, 3, "s") for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, id int, tree int, space string").repartition(4)
+    got = {v.vec_id: (v.n_links, v.component_id) for v in vector_forest.near_duplicates(df).collect()}
+    want = {i: (int(n[i]), int(least[i])) for i in range(len(x))}
+    if kind == "clusters":
+        found, all_ = sum(k for k, _ in got.values()), int(n.sum())
+        assert all_ > 3000 and all(got[i][0] <= want[i][0] for i in want) and found >= 0.98 * all_
+    else:
+        assert got == want
+
+
 def test_forest_of_a_group_of_near_copies(spark):
     r = np.random.default_rng(8)
     x = r.normal(size=(6500, 64))
@@ -230,6 +262,60 @@ def test_jaccard(docs, none):
     assert shingle_join.jaccard_join(none).count() == 0
 
 
+def test_jaccard_of_thousands(spark):
+    """Buckets of thousands: a family whose members drift apart, a second one, and texts that share a passage with it."""
+    r = random.Random(6)
+    word = lambda: "".join(r.choices("abcdefghij", k=6))
+    base = [word() for _ in range(160)]
+    data = []
+    for i in range(2500):
+        w = list(base)
+        for k in r.sample(range(160), r.choice([0, 1, 1, 2, 3, 4])):
+            w[k] = word()
+        data.append((i, " ".join(w)))
+    data += [(5000 + i, " ".join([word() for _ in range(100)] + base[:60])) for i in range(500)]
+    grams = [{tuple(t.split()[k : k + 5]) for k in range(156)} for _, t in data]
+    number = {}
+    sets = np.zeros((len(data), 0))
+    cols = [[number.setdefault(g, len(number)) for g in s] for s in grams]
+    sets = np.zeros((len(data), len(number)), np.float32)
+    for i, c in enumerate(cols):
+        sets[i, c] = 1
+    both, size = sets @ sets.T, sets.sum(axis=1)
+    near = both >= 0.8 * (size[:, None] + size[None, :] - both) - 1e-3
+    np.fill_diagonal(near, False)
+    df = spark.createDataFrame([(i, t, 1, 2, "x") for i, t in data], "doc_id long, text string, uid int, component int, bands string").repartition(4)
+    got = {x.doc_id: x.n_links for x in shingle_join.jaccard_join(df).collect()}
+    assert near.sum() > 100_000 and [got[i] for i, _ in data] == near.sum(axis=1).tolist()
+
+
+def test_long_texts_are_hashed_in_windows(monkeypatch):
+    """Windows smaller than words and texts give the hashes of one window."""
+    from lattica.llm import arrow
+
+    texts_ = pa.array([*texts(), "one " * 5000 + "x" * 3000, "y" * 5000, "", "z"])
+    want = shingle_join.Shingler()(texts_)
+    for window in (64, 1000):
+        monkeypatch.setattr(arrow, "WINDOW", window)
+        monkeypatch.setattr(shingle_join, "WINDOW", window)
+        got = shingle_join.Shingler()(texts_)
+        assert all((a == b).all() for a, b in zip(got, want, strict=True))
+    low = shingle_join.min_hashes(*want, arrow.odd(8, 1))
+    monkeypatch.setattr(shingle_join, "PART", 100)
+    assert (shingle_join.min_hashes(*want, arrow.odd(8, 1)) == low).all()
+
+
+def test_a_text_of_fifty_megabytes(spark):
+    """It passes through shingling, tagging and sharding whole, in bounded memory."""
+    base = " ".join(f"word{i % 9973}x{i % 89}" for i in range(60_000))
+    docs = spark.range(1).select(F.lit(1).cast("long").alias("doc_id"), F.repeat(F.lit(base + " "), 56).alias("text"))
+    docs = docs.unionAll(spark.createDataFrame([(2, base), (3, "short one")], "doc_id long, text string"))
+    got = {x.doc_id: (x.n_grams, x.n_links) for x in shingle_join.jaccard_join(docs).collect()}
+    assert got[2][0] == 59_996 and got[1][0] >= 59_996 and got[3] == (1, 0) and got[1][1] == got[2][1] == 1
+    size = {x.doc_id: x.size for x in sharding.histogram_shards(docs, 2).collect()}
+    assert size[1] == 56 * (len(base) + 1) + 16 > 30e6
+
+
 def test_packing(docs, none):
     got = packing.pack_documents(docs, P.path("byte_bpe_50k.json"), 64, 2).collect()
     by = collections.defaultdict(list)
