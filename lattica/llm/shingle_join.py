@@ -291,3 +291,24 @@ def keep(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     if not again.limit(1).count():
         return out
     return out.unionByName(rows.join(again.select("_k", "_th"), ["_k", "_th"]).dropDuplicates(["_k", "_th"]).select("row.*"))
+
+
+def oracle() -> str:
+    """DuckDB SQL of ``jaccard_join`` over ``documents`` (ids unique), without ``th``: all pairs by a join on n-grams, so for
+    small tables."""
+    ws, n = r"[ \t\n\x0b\f\r]+", WORDS
+    return rf"""
+WITH RECURSIVE a AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '{ws}'), lambda x: x <> '') AS w FROM documents),
+b AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {n} THEN [array_to_string(w, ' ')]
+  ELSE list_transform(range(1, len(w) - {n - 2}), lambda i: array_to_string(w[i:i + {n - 1}], ' ')) END AS s FROM a),
+c AS MATERIALIZED (SELECT doc_id, len(s) AS n, md5(array_to_string(s, chr(10))) AS h, s FROM (SELECT doc_id, list_sort(list_distinct(s)) AS s FROM b)),
+k AS MATERIALIZED (SELECT h, min(doc_id) AS id, count(*) AS size, any_value(n) AS n, any_value(s) AS s FROM c WHERE n > 0 GROUP BY h),
+g AS MATERIALIZED (SELECT id, n, unnest(s) AS g FROM k),
+p AS MATERIALIZED (SELECT x.id AS a, y.id AS b FROM g x JOIN g y ON x.g = y.g AND x.id <> y.id GROUP BY x.id, y.id
+  HAVING count(*) >= {THRESHOLD}::DOUBLE * (any_value(x.n) + any_value(y.n) - count(*)) - 1e-9),
+r AS (SELECT id AS a, id AS b FROM k UNION SELECT r.a, p.b FROM r JOIN p ON p.a = r.b),
+m AS (SELECT a AS id, min(b) AS component_id FROM r GROUP BY 1),
+l AS (SELECT a AS id, sum(size) AS linked FROM p JOIN k ON k.id = p.b GROUP BY 1),
+v AS (SELECT k.h, k.id, size - 1 + coalesce(linked, 0) AS n_links, component_id FROM k JOIN m USING (id) LEFT JOIN l USING (id))
+SELECT doc_id, coalesce(v.id, doc_id) AS class_id, coalesce(n_links, 0)::BIGINT AS n_links, coalesce(component_id, doc_id) AS component_id,
+  coalesce(component_id, doc_id) = doc_id AS kept, c.n::BIGINT AS n_grams FROM c LEFT JOIN v ON v.h = c.h AND c.n > 0"""

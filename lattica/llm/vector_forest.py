@@ -288,3 +288,18 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, key: str =
     linked = held.where("ok").join(per, ["h1", "h2"]).select("vec_id", "n_links", "component_id")
     alone = held.where("not ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionAll(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+
+
+def oracle() -> str:
+    """DuckDB SQL of ``near_duplicates`` over ``embeddings`` (ids unique): all pairs of a label, so for small tables. Scaling
+    by the largest component keeps squares in range."""
+    return f"""
+WITH RECURSIVE a AS MATERIALIZED (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+u AS MATERIALIZED (SELECT vec_id, label, list_transform(e, lambda x: x / list_max(list_transform(e, lambda y: abs(y)))) AS e FROM a),
+p AS MATERIALIZED (SELECT x.vec_id AS a, y.vec_id AS b FROM u x JOIN u y ON x.label = y.label AND x.vec_id <> y.vec_id
+  WHERE CASE WHEN len(x.e) = len(y.e) THEN list_cosine_similarity(x.e, y.e) >= {THRESHOLD} ELSE false END),
+r AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, p.b FROM r JOIN p ON p.a = r.b),
+m AS (SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY 1),
+l AS (SELECT a AS vec_id, count(*) AS n FROM p GROUP BY 1)
+SELECT vec_id, coalesce(l.n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM m LEFT JOIN l USING (vec_id)"""

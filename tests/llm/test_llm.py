@@ -104,9 +104,33 @@ def test_binomial_bound(spark):
     assert np.allclose(got[:3], want) and got[3] == 1.0
 
 
-def test_quality_sql(spark, sf_dir):
-    got = QUERIES["op1_quality_rules"](spark, sf_dir).toPandas()
-    assert rows(got) == rows(duck(sf_dir, ORACLES["op1_quality_rules"]))
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_query_matches_sql(spark, sf_dir, name):
+    got, want = QUERIES[name](spark, sf_dir).toPandas(), duck(sf_dir, ORACLES[name])
+    assert sorted(got.columns) == sorted(want.columns)
+    assert rows(got) == rows(want)
+
+
+def test_links_match_sql_on_odd_rows(spark, tmp_path):
+    """Copies, near copies, chains, and rows that link with nothing."""
+    r = random.Random(9)
+    word = lambda: "".join(r.choices("abcdefgh", k=4))
+    data, w = [], [word() for _ in range(60)]
+    for i in range(60):  # a chain: each differs from the one before by a word
+        w = [*w[:-1], word()] if i % 3 else [*w[1:], word()]
+        data.append((i, " ".join(w)))
+    data += [(60 + i, data[i][1]) for i in range(20)] + [(80, None), (81, ""), (82, " \n"), (83, "a b"), (84, "a  b"), (85, "a b c d e")]
+    spark.createDataFrame(data, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    g = np.random.default_rng(4)
+    x = np.repeat(g.normal(size=(12, 16)), 6, axis=0)
+    x += 0.2 * g.normal(size=x.shape)
+    vec = [(i, v.tolist(), i % 2) for i, v in enumerate(x)]
+    vec += [(72, None, 0), (73, [0.0] * 16, 0), (74, [float("nan")] * 16, 0), (75, [None] * 16, 0), (76, vec[0][1], None), (77, [1.0], 0), (78, [], 0), (79, [3 * y for y in vec[2][1]], 0)]
+    spark.createDataFrame(vec, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    for name in ("op3_projection_forest", "op4_ngram_jaccard"):
+        got = QUERIES[name](spark, str(tmp_path)).toPandas()
+        assert rows(got) == rows(duck(str(tmp_path), ORACLES[name]))
+        assert got.n_links.max() > 1 and not got.kept.all()
 
 
 def brute_tree(train, query, depth):
