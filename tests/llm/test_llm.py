@@ -1,5 +1,6 @@
 """Corpus operators against brute force on small tables with nulls, empty and long texts, ties and repeated rows."""
 
+import bisect
 import collections
 import hashlib
 import itertools
@@ -372,6 +373,61 @@ def test_packing(docs, none):
     assert packing.pack_documents(none, P.path("byte_bpe_50k.json")).count() == 0
 
 
+def best_fit(lengths, capacity):
+    """Plain best fit, longest first: the number of sequences."""
+    gaps, opened = [], 0
+    for k in sorted(lengths, reverse=True):
+        at = bisect.bisect_left(gaps, k)
+        gap = gaps.pop(at) if at < len(gaps) else capacity
+        opened += at == len(gaps) and gap == capacity
+        if gap > k:
+            bisect.insort(gaps, gap - k)
+    return opened
+
+
+LENGTHS = {
+    "uniform": lambda r: r.integers(1, 1025, 4000),
+    "a third alike": lambda r: np.concatenate([r.integers(1, 1025, 2000), np.full(1000, 340)]),
+    "long tail": lambda r: np.clip(r.lognormal(5, 1, 4000), 1, 1024).astype(int),
+    "short": lambda r: r.integers(1, 60, 4000),
+    "ones": lambda r: np.ones(3000, int),
+    "ones and gaps": lambda r: np.concatenate([np.full(300, 700), np.full(3000, 10), np.ones(500, int)]),
+    "halves": lambda r: np.full(1001, 512),
+    "full": lambda r: np.full(500, 1024),
+    "one": lambda r: np.array([3]),
+}
+
+
+@pytest.mark.parametrize("kind", sorted(LENGTHS))
+@pytest.mark.parametrize("range_rows", [1 << 16, 300])
+def test_rounds_of_best_fit(spark, kind, range_rows):
+    """One range is plain best fit; many ranges over several rounds lose one part in a hundred and one sequence a range at
+    most, place every piece once and leave no hole. Columns of the operator's own names are carried."""
+    lengths = LENGTHS[kind](np.random.default_rng(6)).tolist()
+    rows = [(k, i, "x", None, i % 3, 1.5) for i, k in enumerate(lengths)]
+    df = spark.createDataFrame(rows, "length int, id long, kind string, seq string, part int, `a.b` double").repartition(5)
+    out = packing.pack(df, 1024, range_rows)
+    assert out.columns == [*df.columns, "sequence_id", "offset"]
+    got = out.collect()
+    assert sorted(tuple(r)[:6] for r in got) == sorted(rows)
+    sequences = collections.defaultdict(list)
+    for r in got:
+        sequences[r.sequence_id].append((r.offset, r.length))
+    for s in sequences.values():
+        end = 0
+        for o, k in sorted(s):
+            assert o == end
+            end += k
+        assert end <= 1024
+    plain = best_fit(lengths, 1024)
+    assert len(sequences) <= (plain if range_rows > len(lengths) else plain * 1.01 + len(lengths) / range_rows)
+
+
+def test_ranks_of_ranges_meet():
+    left = [{"part": 0, "kind": "gap", "n": 3, "least": 50, "most": 60}, {"part": 1, "kind": "gap", "n": 2, "least": 30, "most": 31}, {"part": 2, "kind": "doc", "n": 9, "least": 8, "most": 14}, {"part": 2, "kind": "gap", "n": 1, "least": 8, "most": 8}, {"part": 3, "kind": "doc", "n": 1, "least": 2, "most": 2}]
+    assert packing._match_ranks(left) == [(2, 0, 4, 1, 2, 2), (2, 4, 9, 0, 3, 3), (3, 0, 1, 2, 1, 4)]
+
+
 def test_toxicity(spark, none, labels):
     r = random.Random(2)
     words = ["".join(r.choices("abcdefgh", k=5)) for _ in range(300)]
