@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .functions.pids import MIXING_PRIME
-from .queries import BLOCK, LOG_NORMAL, PARTS
+from .queries import BLOCK, LOG_NORMAL, PARTS, TRACED
 from .sources.fixtures import WHOLE
 from .sources.generate import EXTRA, MU, SIGMA
 
@@ -174,6 +174,9 @@ def _presearch() -> str:
     return _with("ord", *ctes) + f"SELECT src, dst, w, coalesce(grp.pid, {_wrap('dst')}) AS pid FROM m LEFT JOIN grp ON grp.landmark = m.mark"
 
 
+REPORT = "SELECT s.pid, n_vertices, n_edges, coalesce(f.n, 0) AS n_filtered, n_uncut FROM sizes s JOIN uncut USING (pid) LEFT JOIN (SELECT pid, count(*) AS n FROM filt GROUP BY 1) f ON f.pid = s.pid"
+
+
 def oracles() -> dict[str, str]:
     norm = f"SELECT id, round(rank * (SELECT count(*) FROM v) / (SELECT sum(rank) FROM p{PR_ROUNDS}), 6) AS rank FROM p{PR_ROUNDS}"
     cc = f"SELECT id, label AS component FROM c{DOUBLINGS}"
@@ -183,6 +186,12 @@ def oracles() -> dict[str, str]:
         "edge_scan": _with("li") + "SELECT src, dst, w FROM e",
         "default_weight": _with("ord") + "SELECT src, dst, w FROM e",
         "edge_text_parse": "SELECT l_partkey AS src, l_suppkey AS dst, CASE WHEN l_quantity > 25 THEN l_quantity ELSE 1.0 END::DOUBLE AS w FROM lineitem",
+        "edge_list_file": _with("li") + "SELECT src, dst, w FROM e",
+        "edges_repartitioned": _with("li") + "SELECT src, count(*) AS n_edges, 1::BIGINT AS n_partitions FROM e GROUP BY 1",
+        "persisted_cardinalities": _with("ord") + "SELECT (SELECT count(*) FROM v) AS n_vertices, (SELECT count(*) FROM e) AS n_edges",
+        "cli_components": _cap("ord", 20) + "SELECT id, label AS component FROM c20",
+        "cli_paths": _sssp("li") + dist,
+        "cli_cost": _placed(CUT) + REPORT,
         "vertex_universe": _with("sparse") + "SELECT id, id AS attr, id NOT IN (SELECT src FROM e UNION SELECT dst FROM e) AS isolated FROM v",
         "max_id_all": " UNION ALL ".join(f"SELECT '{n}' AS name, max(greatest(src, dst)) AS max_id FROM ({sql})" for n, sql in sorted(EDGES.items())),
         "cardinalities": _with("sparse") + "SELECT (SELECT count(*) FROM v) AS n_vertices, (SELECT count(*) FROM e) AS n_edges",
@@ -201,11 +210,14 @@ def oracles() -> dict[str, str]:
         "vertex_filter": _with("li") + f"SELECT id, degree FROM {deg}",
         "active_scan": _with("li") + "SELECT 'out' AS direction, src, dst, w FROM e WHERE src % 7 = 0 UNION ALL SELECT 'either', src, dst, w FROM e WHERE src % 7 = 0 OR dst % 7 = 0",
         **{f"superstep_{k}": _with("li") + f"SELECT id, coalesce(min(e.src), -1) AS least, count(e.src) AS heard FROM v LEFT JOIN e ON e.dst = v.id AND ({rule}) GROUP BY 1" for k, rule in HEARD.items()},
+        "superstep_trace": _cap("ord", TRACED) + " UNION ALL ".join(f"SELECT {i} AS step, id, label FROM c{i}" for i in range(1, TRACED + 1)),
+        "superstep_kernel": _with("li") + "SELECT id, round(coalesce(sum(2 * w), 0), 6) AS total FROM v LEFT JOIN e ON e.dst = v.id GROUP BY 1",
         "cc_skipping": _cc("li") + cc,
         "lognormal_graph": _log_normal(),
         "lpa_history_resume": _history_resume(),
         "sssp": _sssp("li") + dist,
         "sssp_skipping": _sssp("li") + dist,
+        "sssp_skipping_blocks": _sssp("li") + dist,
         "sssp_orders": _sssp("ord") + dist,
         "sssp_events": _sssp("ev") + dist,
         "sssp_map_packed": _sssp("li") + "SELECT id, " + ", ".join(f"min(dist) FILTER (WHERE k = {k}) AS d{k + 1}" for k in range(4)) + " FROM d JOIN marks USING (landmark) GROUP BY 1",
@@ -230,8 +242,10 @@ def oracles() -> dict[str, str]:
         "part_block": _placed(BLOCKS) + "SELECT src, dst, w, pid FROM p",
         "part_random_cut": _placed(CUT) + "SELECT src, dst, w, pid FROM p",
         "part_presearch": _presearch(),
+        "edges_at_pid": _placed(BLOCKS) + "SELECT src, dst, w, pid, pid AS found FROM p",
+        "per_partition_procedure": _placed(REVERSE) + "SELECT pid, count(*) AS n_edges, count(DISTINCT src) AS n_sources, max(w) AS top_weight FROM p GROUP BY 1",
         "partition_sizes": _placed(REVERSE) + "SELECT pid, n_vertices, n_edges FROM sizes",
         "partition_filtered": _placed(BLOCKS) + "SELECT pid, id FROM filt",
         "partition_uncut": _placed(REVERSE) + "SELECT pid, n_uncut FROM uncut",
-        "partition_report": _placed(BLOCKS) + "SELECT s.pid, n_vertices, n_edges, coalesce(f.n, 0) AS n_filtered, n_uncut FROM sizes s JOIN uncut USING (pid) LEFT JOIN (SELECT pid, count(*) AS n FROM filt GROUP BY 1) f ON f.pid = s.pid",
+        "partition_report": _placed(BLOCKS) + REPORT,
     }

@@ -4,20 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import plans
+from . import cli, plans
 from .functions.pids import block_pid, random_cut_pid, reverse_1d_pid
 from .graph import Graph, max_id
 from .operators import PregelSpec, Send, active_edges, cost, pregel
-from .operators.placement import place, pre_search
+from .operators.placement import materialise, per_partition, place, pre_search
 from .plans.labels import history_rollup
-from .sources import FIXTURES, fixture, log_normal_graph, parse_edges
+from .shared import new_path, stage
+from .sources import FIXTURES, fixture, log_normal_graph, parse_edges, read_edge_list
 from .sources.fixtures import WHOLE, default_landmarks
 
-#: Parameters shared with the SQL: partitions, ids per block, vertices of the random graph.
-PARTS, BLOCK, LOG_NORMAL = 4, 500, 500
+#: Parameters shared with the SQL: partitions, ids per block, vertices of the random graph, supersteps of the trace.
+PARTS, BLOCK, LOG_NORMAL, TRACED = 4, 500, 500, 3
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -30,9 +33,8 @@ def graph(name: str, spark: SparkSession, d: str) -> Graph:
     return Graph.from_edges(fixture(name, spark, d))
 
 
-def landmarks(edges: DataFrame) -> list[int]:
-    top = max_id(edges).first()[0]
-    return default_landmarks(0 if top is None else top + 1)
+def landmarks(g: Graph) -> list[int]:
+    return default_landmarks(g.vertices.count())
 
 
 # -- sources ---------------------------------------------------------------------------------------
@@ -57,6 +59,50 @@ def universe(g: Graph) -> DataFrame:
     return g.vertices.join(ends, "id", "left").select("id", "attr", F.col("on_edge").isNull().alias("isolated"))
 
 
+def _edge_file(name, spark, d):
+    """The URI of a graph written as a text edge list."""
+    path, edges = new_path(spark, "edges"), fixture(name, spark, d)
+    edges.select(F.concat_ws(" ", *[F.col(c).cast("string") for c in edges.columns])).write.text(path)
+    return path
+
+
+@query
+def edge_list_file(spark, d):
+    """A text edge list read from its URI, its edges placed by a partitioner."""
+    return read_edge_list(spark, _edge_file("li", spark, d), PARTS, random_cut_pid).edges
+
+
+@query
+def edges_repartitioned(spark, d):
+    """Edges in a given number of partitions: in how many each source is found."""
+    edges = Graph.from_edges(fixture("li", spark, d), PARTS).edges.withColumn("at", F.spark_partition_id())
+    return edges.groupBy("src").agg(F.count("*").alias("n_edges"), F.countDistinct("at").alias("n_partitions"))
+
+
+@query
+def persisted_cardinalities(spark, d):
+    """Both tables computed and cached at once, used, and released."""
+    g = graph("ord", spark, d).persist(eager=True)
+    out = stage(g.cardinalities(), "counts")
+    g.close()
+    return out
+
+
+@query
+def cli_components(spark, d):
+    return cli.run(spark, "cc", _edge_file("ord", spark, d), PARTS)
+
+
+@query
+def cli_paths(spark, d):
+    return cli.run(spark, "sssp", _edge_file("li", spark, d), PARTS).select("id", "landmark", F.round("dist", 6).alias("dist"))
+
+
+@query
+def cli_cost(spark, d):
+    return cli.run(spark, "cost", _edge_file("li", spark, d), PARTS)
+
+
 @query
 def vertex_universe(spark, d):
     return universe(graph("sparse", spark, d))
@@ -193,10 +239,41 @@ def superstep_all(spark, d):
     return _heard("all", spark, d)
 
 
+@query
+def superstep_trace(spark, d):
+    """Every state of the first supersteps of the smallest label, two steps from one written state to the next."""
+    g, seen = graph("ord", spark, d), []
+    state = g.vertices.select("id", F.col("id").alias("label"), F.lit(True).alias("active"))
+    label = {"m": F.col("label")}
+    pregel(state, g.edges, PregelSpec(
+        send=[Send(label), Send(label, to="src")], combine={"m": F.min("m")}, update={"label": F.least("label", "m")},
+        changed=F.col("m") < F.col("label"), max_iter=TRACED, stage_every=2, trace=True, on_step=seen.append,
+    ))
+    parts = [m["state"].select(F.lit(m["step"]).alias("step"), "id", "label") for m in seen]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionAll(p)
+    return out
+
+
+def _doubled(batches):
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column("dst"), pc.multiply(b.column("w"), 2.0)], names=["dst", "m"])
+
+
+@query
+def superstep_kernel(spark, d):
+    """A superstep whose messages come from an Arrow kernel over the scanned edges."""
+    g = graph("li", spark, d)
+    state = g.vertices.select("id", F.lit(0.0).alias("total"), F.lit(True).alias("active"))
+    spec = PregelSpec(send=[Send({"m": F.col("m")}, kernel=(_doubled, "dst long, m double"))], combine={"m": F.sum("m")}, update={"total": F.col("m")}, max_iter=1)
+    return pregel(state, g.edges, spec).select("id", F.round("total", 6).alias("total"))
+
+
 # -- shortest paths --------------------------------------------------------------------------------
 def _sssp(name, spark, d):
     g = graph(name, spark, d)
-    return plans.shortest_paths(g, landmarks(g.edges)).select("id", "landmark", F.round("dist", 6).alias("dist"))
+    return plans.shortest_paths(g, landmarks(g)).select("id", "landmark", F.round("dist", 6).alias("dist"))
 
 
 @query
@@ -217,7 +294,7 @@ def sssp_events(spark, d):
 @query
 def sssp_map_packed(spark, d):
     g = graph("li", spark, d)
-    marks = landmarks(g.edges)
+    marks = landmarks(g)
     return plans.pack(plans.shortest_paths(g, marks), marks)
 
 
@@ -225,7 +302,15 @@ def sssp_map_packed(spark, d):
 def sssp_skipping(spark, d):
     """Superstep skipping: local fixed points inside each edge partition between exchanges; same distances."""
     g = graph("li", spark, d)
-    return plans.shortest_paths_skipping(g, landmarks(g.edges), PARTS).select("id", "landmark", F.round("dist", 6).alias("dist"))
+    return plans.shortest_paths_skipping(g, landmarks(g), PARTS).select("id", "landmark", F.round("dist", 6).alias("dist"))
+
+
+@query
+def sssp_skipping_blocks(spark, d):
+    """The same in the layout of another partitioner, two local steps at a time."""
+    g = graph("li", spark, d)
+    out = plans.shortest_paths_skipping(g, landmarks(g), PARTS, block_pid(BLOCK), local_steps=2)
+    return out.select("id", "landmark", F.round("dist", 6).alias("dist"))
 
 
 @query
@@ -332,7 +417,7 @@ def rank_sum(spark, d):
 @query
 def khop_2(spark, d):
     g = graph("li", spark, d)
-    return plans.k_hop(g, landmarks(g.edges), 2)
+    return plans.k_hop(g, landmarks(g), 2)
 
 
 def _placed(partitioner, spark, d):
@@ -357,7 +442,24 @@ def part_random_cut(spark, d):
 @query
 def part_presearch(spark, d):
     g = graph("ord", spark, d)
-    return pre_search(g, landmarks(g.edges), PARTS)
+    return pre_search(g, landmarks(g), PARTS)
+
+
+@query
+def edges_at_pid(spark, d):
+    """Edges moved to the Spark partition that their pid names, and where they are found."""
+    return materialise(_placed(block_pid(BLOCK), spark, d), PARTS).select("src", "dst", "w", "pid", F.spark_partition_id().alias("found"))
+
+
+def _described(t):
+    weights = t.column("w").to_numpy()
+    return pa.table([t.column("pid")[:1], pa.array([t.num_rows], pa.int64()), pa.array([pc.count_distinct(t.column("src")).as_py()], pa.int64()), pa.array([weights.max()])], names=["pid", "n_edges", "n_sources", "top_weight"])
+
+
+@query
+def per_partition_procedure(spark, d):
+    """A procedure of one Arrow table for each placed partition."""
+    return per_partition(_placed(reverse_1d_pid, spark, d), _described, "pid int, n_edges long, n_sources long, top_weight double")
 
 
 @query

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..shared import stage
+
 
 def _orders(spark, d):
     return spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("src"), F.col("o_custkey").alias("dst"))
@@ -18,18 +20,17 @@ def _lineitem(spark, d):
 
 def _events(spark, d):
     """Consecutive users of the whole stream. ``lead`` needs one total order, so a plain window would put
-    all rows in one task; instead each row gets its rank by range partition and joins its successor."""
+    all rows in one task; instead each row gets its rank by range partition and joins its successor. The edges are
+    written once, as an algorithm scans them several times."""
     e = spark.read.parquet(f"{d}/events.parquet").select("ts", "event_id", "user_id", "value")
     r = total_rank(e, ["ts", "event_id"]).select("rank", "user_id", "value")
     nxt = r.select((F.col("rank") - 1).alias("rank"), F.col("user_id").alias("dst"))
-    return r.join(nxt, "rank").select(F.col("user_id").alias("src"), "dst", F.col("value").alias("w"))
+    return stage(r.join(nxt, "rank").select(F.col("user_id").alias("src"), "dst", F.col("value").alias("w")), "successors")
 
 
 def total_rank(df: DataFrame, order: list[str]) -> DataFrame:
     """Global 0-based ``rank`` without a single-task sort: a staged range partition, then local row numbers
     plus the row counts of the partitions before (one row per partition)."""
-    from ..shared import stage
-
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = stage(df.repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id()), "ranked")
     sizes = parts.groupBy("_p").agg(F.count("*").alias("_n"))
