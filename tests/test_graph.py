@@ -1,6 +1,7 @@
 """Hand-made graphs with answers worked out by hand, invariants and edge cases."""
 
 import math
+import os
 
 import pyarrow as pa
 import pytest
@@ -15,6 +16,7 @@ from lattica.operators.pregel import lay
 from lattica.plans import connected, connected_capped, connected_components, k_hop, label_history, label_propagation, normalise, pagerank, shortest_paths
 from lattica.plans.skipping import connected_skipping, shortest_paths_skipping
 from lattica.plans.sssp import as_map
+from lattica.shared import scratch, shared_root, stage
 from lattica.sources import parse_edges, read_edge_list
 
 
@@ -189,6 +191,19 @@ def test_per_partition_and_eager_persist(spark):
     g.close()
 
 
+def test_scratch_deletes_what_is_not_kept(spark):
+    root = shared_root(spark).removeprefix("file://")
+    was = set(os.listdir(root))
+    with scratch(spark):
+        out = stage(stage(spark.range(3), "middle").where("id > 0"), "kept", keep=True)
+        assert len(set(os.listdir(root)) - was) == 2
+    assert [x.partition("-")[0] for x in set(os.listdir(root)) - was] == ["kept"] and out.count() == 2
+    with pytest.raises(ZeroDivisionError), scratch(spark):
+        stage(spark.range(1), "lost")
+        raise ZeroDivisionError
+    assert not [x for x in os.listdir(root) if x.startswith("lost-")]
+
+
 def test_empty_graph(spark):
     g = graph(spark, [])
     assert g.vertices.count() == 0 and connected(g.edges).count() == 0
