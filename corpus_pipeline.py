@@ -1,7 +1,8 @@
 """The cleaning pipeline: four stages, each over all that the one before kept.
 
 Every stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; all but the last keep the columns of ``documents``.
-``run`` writes each stage's rows as Parquet in the shared folder and rereads them for the next.
+``run`` writes each stage's rows as Parquet in the shared folder and rereads them for the next; what a stage staged, and
+what it read of its predecessor, is deleted once its own rows are written.
 
 Nulls, empty and long texts, ties and repeated rows: a null or empty text fails the base rules of the first stage, so
 the later ones meet it only when called by themselves; then it is not toxic, is kept as a document of its own, and packs
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lattica.llm import packing, quality, shingle_join, toxicity
 from lattica.llm.queries import BYTE_BPE, END_ID, SEQUENCE
-from lattica.shared import stage
+from lattica.shared import drop, scratch, stage
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,6 +51,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, function in STAGES:
-        docs = stage(function(spark, docs, sf_dir), name)
+    for k, (name, function) in enumerate(STAGES):
+        with scratch(spark):
+            kept = stage(function(spark, docs, sf_dir), name, keep=True)
+        if k:
+            drop(docs)
+        docs = kept
     return docs

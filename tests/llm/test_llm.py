@@ -5,6 +5,7 @@ import collections
 import hashlib
 import itertools
 import math
+import os
 import random
 import re
 import zlib
@@ -20,6 +21,7 @@ from lattica.llm import context_tree, html_text, packing, prefix_bpe, quality, s
 from lattica.llm.arrow import components
 from lattica.llm.queries import ORACLES, QUERIES
 from lattica.llm.units import load
+from lattica.shared import shared_root
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, shard int, length long, bytes string"
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -780,7 +782,10 @@ def test_pipeline_by_brute_force(spark, tmp_path):
         ends = list(range(len(tokens), 0, -C.SEQUENCE))[::-1]
         for piece, (lo, hi) in enumerate(zip([0, *ends], ends, strict=False)):
             want.append((i, piece, lo, hi - lo, crc(tokens[lo:hi])))
+    root = shared_root(spark).removeprefix("file://")
+    was = set(os.listdir(root))
     got = C.run(spark, str(tmp_path)).collect()
+    assert [x.partition("-")[0] for x in set(os.listdir(root)) - was] == ["packing"]
     assert sorted((x.doc_id, x.piece, x.start, x.length, x.ids_crc32) for x in got) == sorted(want)
     gaps, seqs = [], collections.defaultdict(list)
     for k in sorted((x[3] for x in want), reverse=True):
