@@ -22,14 +22,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import flat, mix, slices, strings
-from .units import CACHE_UNITS, Memory, as_bytes
+from .units import Memory, as_bytes
 
 #: The training sample: documents of each label, by hash of the id, none longer than MAX_CHARS code points.
 MAX_TOXIC, MAX_CLEAN, MAX_CHARS = 800, 1600, 20_000
 #: Hashed features; steps and rate of the fit; weight of the squared norm; chance that any seed feature is false.
 DIM, STEPS, RATE, L2, SEED_ERROR = 1 << 18, 40, 0.5, 1e-6, 0.01
-#: Tokens per column of the blocked scan.
-BLOCK = 64
+#: Tokens per column of the blocked scan; bytes of text scored at once and words whose emissions a worker remembers, which
+#: bound its memory and change no result.
+BLOCK, SLICE, CACHE = 64, 1 << 20, 150_000
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(9, 14)]] = True
 _EDGE = re.compile(r"^\W+|\W+$")
@@ -234,7 +235,7 @@ class Scorer:
     """Marginals and scores of Arrow string columns; remembers emissions of words."""
 
     def __init__(self, field: Field):
-        self.field, self.known = field, Memory(CACHE_UNITS)
+        self.field, self.known = field, Memory(CACHE)
 
     def __call__(self, texts: pa.Array):
         self.known.turn()
@@ -262,7 +263,7 @@ def score(docs: DataFrame, field: Field, key: str = "doc_id", text: str = "text"
 
     def run(batches):
         scorer = Scorer(sent.value)
-        for b in slices(batches):
+        for b in slices(batches, budget=SLICE):
             p, s, (units, codes, at, starts, data) = scorer(b.column("text"))
             spans = [[] for _ in range(b.num_rows)]
             hot = np.flatnonzero(p >= 0.5)
@@ -296,7 +297,7 @@ def keep(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "t
 
     def run(batches):
         scorer = Scorer(sent.value)
-        for b in slices(batches, text):
+        for b in slices(batches, text, SLICE):
             yield b.filter(pa.array(scorer(b.column(text))[1] < 0.5))
 
     return docs.mapInArrow(run, docs.schema)
