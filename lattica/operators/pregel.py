@@ -4,6 +4,9 @@ A superstep joins the edges with the active part of the state, groups the messag
 aggregation combines map-side) and joins the merged messages back. Algorithms are column expressions; no
 Python code runs per record. The new state is written to the shared folder each step, with the number of
 active rows observed by the same job, so a step costs one action and the plan never grows.
+
+A step costs a job however few rows are active, so long chains are dear. An algorithm may therefore name a ``finish``:
+once the edges that can still carry a message fit one task, that task runs the supersteps that are left.
 """
 
 from __future__ import annotations
@@ -12,6 +15,7 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -20,6 +24,8 @@ from ..shared import drop, stage
 #: Activity rules: which end of an edge must have changed in the last step for the edge to be scanned. "out": the end
 #: that a rule sends from; "either": one of both; "all": none.
 DIRECTIONS = ("out", "either", "all")
+#: Edges that one task takes to finish: 24 bytes a row, and some ten times that with its indexes. More stay distributed.
+FINISH_EDGES = 1 << 21
 
 
 def active_edges(edges: DataFrame, active: DataFrame, direction: str = "out", origin: str = "src") -> DataFrame:
@@ -56,7 +62,9 @@ class PregelSpec:
     ``changed``: activity after the step (default: a message came). ``grow``: messages may create state rows.
     ``direction``: one of DIRECTIONS. ``merge``: aggregates that make parallel edges one. ``stage_every``: steps from
     one written state to the next; those between are cached. ``trace``: ``on_step`` also gets each state, and none is
-    deleted."""
+    deleted. ``finish``: the supersteps that are left as a function of two Arrow tables, live edges and the state of
+    their ends, that returns that state without ``active``. It needs one rule that sends along the edges, and it is left
+    out where ``max_iter``, ``on_step`` or ``trace`` ask for single steps."""
 
     send: list[Send]
     combine: dict[str, Column]
@@ -73,6 +81,7 @@ class PregelSpec:
     merge: dict[str, Column] = field(default_factory=dict)
     stage_every: int = 1
     trace: bool = False
+    finish: Callable[[pa.Table, pa.Table], pa.Table] | None = None
 
 
 def lay(edges: DataFrame, origin: str, merge: dict[str, Column] | None = None) -> DataFrame:
@@ -97,7 +106,19 @@ def pregel(state: DataFrame, edges: DataFrame, spec: PregelSpec) -> DataFrame:
     laid = {o: lay(edges, o, spec.merge) for o in {"src" if r.to == "dst" else "dst" for r in spec.send}}
     state, active = _staged(state, sends_if)
     olds: list[DataFrame] = []
+    live = None
+    # seeds reach few edges from the start; where every vertex may send, edges fall out after the first step
+    ready = None if not spec.finish or spec.max_iter or spec.on_step or spec.trace else 0 if spec.grow else 1
     while active and (spec.max_iter is None or step < spec.max_iter):
+        if step == ready:
+            live, n = _live(laid["src"] if step else edges, state, spec, sends_if)
+            if n <= FINISH_EDGES:
+                olds, state = [*olds, state], _finished(state, live, spec)
+                for old in olds:
+                    old.unpersist() if old.is_cached else drop(old)
+                break
+            laid["src"].unpersist()
+            laid["src"] = lay(live, "src", spec.merge)
         began = time.monotonic()
         new = _apply(state, _messages(state, laid, spec, sends_if), spec).select(*columns)
         step += 1
@@ -112,9 +133,39 @@ def pregel(state: DataFrame, edges: DataFrame, spec: PregelSpec) -> DataFrame:
             spec.on_step({"step": step, "n_active": active, "secs": time.monotonic() - began} | ({"state": state} if spec.trace else {}))
     for e in laid.values():
         e.unpersist()
+    if live is not None:
+        drop(live)
     return state
 
 
+def _live(edges: DataFrame, state: DataFrame, spec: PregelSpec, sends_if: Column) -> tuple[DataFrame, int]:
+    """The edges that can still carry a message, and their number: their source sends now, or is the target of an edge
+    that can. Seen one hop back at a time, until they fit one task or hardly any falls out."""
+    senders = state.where(F.col("active") & sends_if).select(F.col(spec.keys[0]).alias("src"))
+    live, n, was = edges, 0, float("inf")
+    while True:
+        ends, seen = live.select(F.col("dst").alias("src")).union(senders).distinct(), Observation()
+        new = stage(live.join(ends, "src", "left_semi").observe(seen, F.count("*").alias("n")), "live")
+        if was < float("inf"):
+            drop(live)
+        live, n = new, seen.get["n"] or 0
+        if n <= FINISH_EDGES or n > 0.9 * was:
+            return live, n
+        was = n
+
+
+def _finished(state: DataFrame, live: DataFrame, spec: PregelSpec) -> DataFrame:
+    keys, columns = list(spec.keys), [c for c in state.columns if c != "active"]
+    ends = live.select(F.col("src").alias(keys[0])).union(live.select("dst")).distinct()
+    one = F.lit(0).alias("_one")
+    left, right = live.select(one, "*"), state.join(ends, keys[0], "left_semi").select(one, *state.columns)
+    out = left.groupBy("_one").cogroup(right.groupBy("_one")).applyInArrow(spec.finish, state.select(*columns).schema)
+    out = out.select(*keys, *[F.col(c).alias(f"_{c}") for c in columns if c not in keys])
+    joined = state.join(out, keys, "full" if spec.grow else "left")
+    cols = [F.col(c) if c in keys else F.coalesce(f"_{c}", c).alias(c) for c in columns]
+    return stage(joined.select(*cols, F.lit(False).alias("active")).select(*state.columns), "superstep")
+
+
 def _staged(state: DataFrame, sends_if: Column, cached: bool = False) -> tuple[DataFrame, int]:
     if cached:
         out = state.persist()

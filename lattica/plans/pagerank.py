@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,10 +27,28 @@ def pagerank(graph: Graph, tol: float = 0.001, reset: float = 0.15, source: int
         combine={"m": F.sum("m")},
         update={"rank": F.col("rank") + keep * F.col("m"), "delta": keep * F.col("m")},
         max_iter=max_iter, on_step=on_step,
+        finish=lambda edges, state: _finish(edges, state, float(tol), 1.0 - reset),
     )
     return pregel(state, graph.degree_weights().edges, spec).select("id", "rank", "delta")
 
 
+def _finish(edges: pa.Table, state: pa.Table, tol: float, keep: float) -> pa.Table:
+    """The rounds that are left, in one task."""
+    src, dst, w = (edges.column(c).to_numpy() for c in ("src", "dst", "w"))
+    ids, rank, delta, active = (state.column(c).to_numpy().copy() for c in ("id", "rank", "delta", "active"))
+    order = np.argsort(ids)
+    s, t = (order[np.searchsorted(ids, x, sorter=order)] for x in (src, dst))
+    while (sends := active & (delta > tol)).any():
+        on = np.flatnonzero(sends[s])
+        at = t[on]
+        m = keep * np.bincount(at, delta[s[on]] * w[on], len(ids))
+        active = np.zeros(len(ids), bool)
+        active[at] = True
+        rank[active] += m[active]
+        delta[active] = m[active]
+    return pa.table({"id": ids, "rank": rank, "delta": delta})
+
+
 def normalise(ranks: DataFrame, personalised: bool = False) -> DataFrame:
     """Scale so that the ranks sum to the number of vertices, or to 1 if personalised."""
     total = ranks.agg(F.sum("rank").alias("_s"), F.count("*").alias("_n"))
