@@ -32,36 +32,42 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..shared import stage
-from .arrow import slices
+from .arrow import release, slices
 from .units import UnitEncoder
 
 #: Rows of a range; ids for which gaps must have room for one, or else documents open sequences; and classes: documents of
 #: which two, three, ... fill a sequence, those of which SMALL or more do being one.
 RANGE, SUPPLY, SMALL = 1 << 16, 8, 8
+#: Bytes of text that a worker encodes at once, and distinct units that it remembers; results do not depend on them.
+SLICE, REMEMBER = 1 << 20, 200_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+def _pieces(batches, tokenizer: str, capacity: int, end_id: int):
+    release()  # what an earlier stage left in this worker
+    encoder = UnitEncoder(tokenizer, REMEMBER)
+    for b in slices(batches, budget=SLICE):
+        ids, at = encoder.encode(b.column("text"), end_id)
+        raw, size = memoryview(ids.astype("<u4").tobytes()), np.diff(at)
+        count = -(-size // capacity)
+        doc = np.repeat(np.arange(len(size)), count)
+        piece = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
+        short = size - (count - 1) * capacity  # the first piece
+        start = np.where(piece == 0, 0, short[doc] + (piece - 1) * capacity)
+        length = np.where(piece == 0, short[doc], capacity)
+        lo = 4 * (at[doc] + start)
+        crc = [zlib.crc32(raw[i : i + n]) for i, n in zip(lo.tolist(), (4 * length).tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+    del encoder
+    release()
+
+
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Encode whole texts, close each with ``end_id`` and cut only those longer than ``capacity``, so that all pieces
     but the first are full."""
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
-    def run(batches):
-        encoder = UnitEncoder(tokenizer)
-        for b in slices(batches):
-            ids, at = encoder.encode(b.column("text"), end_id)
-            raw, size = memoryview(ids.astype("<u4").tobytes()), np.diff(at)
-            count = -(-size // capacity)
-            doc = np.repeat(np.arange(len(size)), count)
-            piece = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
-            short = size - (count - 1) * capacity  # the first piece
-            start = np.where(piece == 0, 0, short[doc] + (piece - 1) * capacity)
-            length = np.where(piece == 0, short[doc], capacity)
-            lo = 4 * (at[doc] + start)
-            crc = [zlib.crc32(raw[i : i + n]) for i, n in zip(lo.tolist(), (4 * length).tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
-
-    return rows.mapInArrow(run, PIECES)
+    return rows.mapInArrow(lambda batches: _pieces(batches, tokenizer, capacity, end_id), PIECES)
 
 
 def _open_from(docs: dict[int, int], gaps: dict[int, int]) -> float:

@@ -134,11 +134,12 @@ class Splitter:
 
 class UnitEncoder:
     """Ids of texts under the tokenizer file at ``path``, without added special tokens. The library's model runs once
-    per distinct piece; units that may hold a special token go through the whole library call."""
+    per distinct piece; units that may hold a special token go through the whole library call. Remembers ``remember``
+    distinct units and as many pieces at least."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remember: int = CACHE_UNITS):
         self.tokenizer, self.split = load(path), Splitter(path)
-        self.units, self.pieces = Memory(CACHE_UNITS), Memory(CACHE_UNITS)
+        self.units, self.pieces = Memory(remember), Memory(remember)
         self.model = self.tokenizer.model.tokenize
 
     def _unit(self, unit: bytes) -> bytes:

@@ -806,3 +806,24 @@ def test_slices_of_null_columns():
 
     units, codes, at = cut(pa.array([None, ""], pa.string()))
     assert len(units) == len(codes) == 0 and at.tolist() == [0, 0, 0]
+
+
+def test_packing_encodes_small_slices_and_remembers_few_units(monkeypatch):
+    """The pipeline's last stage shares an executor's memory with what the earlier ones left there."""
+    made, seen = [], []
+
+    class Spy(packing.UnitEncoder):
+        def __init__(self, *args):
+            super().__init__(*args)
+            made.append(self)
+
+        def encode(self, texts, end_id=None):
+            seen.append((sum(map(len, texts.to_pylist())), len(self.units) + len(self.units.old)))
+            return super().encode(texts, end_id)
+
+    monkeypatch.setattr(packing, "UnitEncoder", Spy)
+    texts = [" ".join(f"w{j}" for j in range(i, i + 10_000)) for i in range(0, 700_000, 10_000)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
+    out = pa.Table.from_batches(packing._pieces(iter([batch]), P.path("byte_bpe_50k.json"), 1024, 2))
+    assert set(out.column("doc_id").to_pylist()) == set(range(len(texts)))
+    assert max(x for x, _ in seen) < 1.2 * (1 << 20) and max(n for _, n in seen) < 600_000 and made[0].units.size <= 200_000
