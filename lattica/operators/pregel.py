@@ -24,7 +24,7 @@ from ..shared import drop, stage
 #: Activity rules: which end of an edge must have changed in the last step for the edge to be scanned. "out": the end
 #: that a rule sends from; "either": one of both; "all": none.
 DIRECTIONS = ("out", "either", "all")
-#: Edges that one task takes to finish: 24 bytes a row, and some ten times that with its indexes. More stay distributed.
+#: Edges that one task takes to finish: 24 bytes a row; with its indexes several times that (not measured). More stay distributed.
 FINISH_EDGES = 1 << 21
 
 
