@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..graph import Graph
@@ -22,14 +22,20 @@ def pagerank(graph: Graph, tol: float = 0.001, reset: float = 0.15, source: int
     state = graph.vertices.select("id", start.alias("rank"), start.alias("delta"), F.lit(True).alias("active"))
     keep = F.lit(1.0 - reset)
     spec = PregelSpec(
-        merge={"w": F.sum("w")},
         send=[Send({"m": F.col("delta") * F.col("w")})], sends_if=F.col("delta") > F.lit(float(tol)),
         combine={"m": F.sum("m")},
         update={"rank": F.col("rank") + keep * F.col("m"), "delta": keep * F.col("m")},
         max_iter=max_iter, on_step=on_step,
         finish=lambda edges, state: _finish(edges, state, float(tol), 1.0 - reset),
     )
-    return pregel(state, graph.degree_weights().edges, spec).select("id", "rank", "delta")
+    return pregel(state, _shares(graph.edges), spec).select("id", "rank", "delta")
+
+
+def _shares(edges: DataFrame) -> DataFrame:
+    """Parallel edges as one that has their share of the source's edges; only the ends are exchanged, once, by source."""
+    n = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    merged = edges.select("src", "dst").repartition(n, "src").groupBy("src", "dst").agg(F.count("*").alias("n"))
+    return merged.select("src", "dst", (F.col("n") / F.sum("n").over(Window.partitionBy("src"))).alias("w"))
 
 
 def _finish(edges: pa.Table, state: pa.Table, tol: float, keep: float) -> pa.Table:
